@@ -298,9 +298,11 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 1) -> list[str]:
     def links(n, y=0, tag="ul", extra=""):
         return el(tag, "".join(el("li", f'<a href="/{some(1, 2)}">{some(1, 4)}</a>', y) for _ in range(n)), y, extra)
 
+    plain = False  # whether the page at hand has prose without marks
+
     def paragraph():
         body = " ".join(sentence() for _ in range(int(rng.integers(1, 6)))) if chance(0.85) else some(1, 6) + pick("", ".")
-        if chance(0.1):
+        if chance(0.6 if plain else 0.05):
             body = " ".join(some(1, 2) for _ in range(2)) * int(rng.integers(2, 30)) + pick("", ".")
         if chance(0.15):
             body = f"<b>{body}</b>"
@@ -387,6 +389,7 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 1) -> list[str]:
 
     pages = []
     for _ in range(count):
+        plain = chance(0.15)
         main = article() + (comments() if chance(0.35) else "")
         if chance(0.35):
             main = (aside() if chance(0.2) else "") + main + (aside() if chance(0.4) else "") + (advert() if chance(0.2) else "")
