@@ -333,7 +333,7 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 1) -> list[str]:
         return el("form", body, 0, marks("search", "login", "contact", "form", "subscribe") if chance(0.4) else "")
 
     def comments():
-        one = lambda: el(pick("div", "li", "article", "section"), (el("p", some(1, 3), 0, 'class="author"') if chance(0.5) else "") + el("p", " ".join(sentence() for _ in range(int(rng.integers(1, 4)))), 0), 0, marks("comment", "reply", "comment-body") if chance(0.7) else "")
+        one = lambda: el(kind := pick("div", "li", "article", "section"), (el("p", some(1, 3), 0, 'class="author"') if chance(0.5) else "") + el("p", " ".join(sentence() for _ in range(int(rng.integers(1, 4)))), 0), 0, marks("comment", "reply", "comment-body") if kind == "article" or chance(0.7) else "")
         body = (el(pick("h2", "h3"), some(1, 3), 0) if chance(0.6) else "") + "".join(one() for _ in range(int(rng.integers(1, 6))))
         m = marks("comments", "comment-list", "discussion", "responses", "disqus", "replies", "reader-comments", "respond")
         return el(pick("section", "div", "div", "ol", "ul", "aside"), body + (form() if chance(0.3) else ""), 0, m)
@@ -374,6 +374,8 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 1) -> list[str]:
                 body.append(el("pre", some(2, 12), 1))
             else:
                 body.append(extras())
+        if chance(0.12):  # many paragraphs of a few words
+            body += [el("p", some(1, 4).capitalize() + ".", 1) for _ in range(int(rng.integers(8, 30)))]
         body = "".join(body)
         if chance(0.25):
             body = el(pick("div", "section"), body, 1, marks("article-body", "entry-content", "content", "post-body", "story", "text") if chance(0.7) else "")
