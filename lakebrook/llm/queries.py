@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_extract, packing, quality_classifier, quality_rules, top_k, url_filter
+from . import byte_bpe, chat_format, html_extract, line_dedup, packing, quality_classifier, quality_rules, top_k, url_filter
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
+    "op2_line_dedup": line_dedup.query,
     "op4_quality_rules": quality_rules.query,
     "op5_quality_classifier": quality_classifier.query,
     "op6_packing": packing.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_top_k": top_k.query,
+    "op9_chat_format": chat_format.query,
     "op10_url_filter": url_filter.query,
 }
 
 ORACLES = {
     "op8_top_k": top_k.ORACLE,
+    "op9_chat_format": chat_format.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
