@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, html_extract, line_dedup, packing, quality_classifier, quality_rules, top_k, url_filter
+from . import byte_bpe, chat_format, html_extract, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, top_k, url_filter
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
     "op2_line_dedup": line_dedup.query,
+    "op3_jaccard_join": jaccard_join.query,
     "op4_quality_rules": quality_rules.query,
     "op5_quality_classifier": quality_classifier.query,
     "op6_packing": packing.query,
