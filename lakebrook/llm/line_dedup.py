@@ -1,9 +1,9 @@
 """Line dedup (operator 2) by a log-template tree. DataFrame functions only.
 
 Each line is parsed along a tree of fixed depth: by its number of tokens, then by its first LEADING tokens. Tokens with a
-digit are variable fields, "<*>". In a leaf, lines belong to one template if they agree but for one quarter of their
-other tokens: each line has one key for its whole template and, from GENERALISED tokens on, one for each quarter left
-open. A template recurs if it stands in CONTEXTS or more different surroundings, where a document's surroundings of a
+digit are variable fields, "<*>". In a leaf, lines belong to one template if they agree but for one half of their other
+tokens: each line has one key for its whole template and, from GENERALISED tokens on, one for each half left open. A
+token ends at a blank; all of this is string functions in generated code, on each text once. A template recurs if it stands in CONTEXTS or more different surroundings, where a document's surroundings of a
 line are the smallest hash of its other lines: boilerplate stands among ever other lines, while the lines of exact copies
 stand among the same ones and are left to document dedup. Lines of a recurring template are dropped from all documents but
 the one with the smallest doc_id, so that each text stays in the corpus once. Lines of fewer than LEADING tokens stay.
@@ -21,42 +21,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
-LEADING, GENERALISED, CONTEXTS, QUARTERS = 3, 8, 5, 4
+LEADING, GENERALISED, CONTEXTS = 3, 8, 5
 #: A token with a digit. It is tried at token starts only and never gives back, so that long tokens cost one pass.
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 
-def _masked(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(line, VARIABLE, "<*>"), r"^\s++|(?<!\s)\s++$", "")
-
-
-def _keys(tokens: Column, n: Column) -> Column:
-    rest = n - LEADING
-    keys = [F.xxhash64(F.lit(0), n, tokens)]
-    for b in range(QUARTERS):
-        start = F.lit(LEADING) + F.floor(rest * b / QUARTERS).cast("int")  # tokens before the open quarter
-        end = F.lit(LEADING) + F.floor(rest * (b + 1) / QUARTERS).cast("int")
-        keys.append(F.when(n >= GENERALISED, F.xxhash64(F.lit(b + 1), n, F.slice(tokens, F.lit(1), start), F.slice(tokens, end + 1, n - end))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+def _keys(line: Column, n: Column) -> Column:
+    """The whole template, and those with the second or the first half of what follows the leading tokens left open."""
+    half = F.lit(LEADING) + F.floor((n - LEADING) / 2).cast("int")
+    first = F.call_function("substring_index", line, F.lit(" "), half)
+    last = F.call_function("substring_index", line, F.lit(" "), half - n)
+    leading = F.call_function("substring_index", line, F.lit(" "), F.lit(LEADING))
+    whole = F.xxhash64(F.lit(0), line)
+    return F.when(n >= GENERALISED, F.array(whole, F.xxhash64(F.lit(1), n, first), F.xxhash64(F.lit(2), n, leading, last))).otherwise(F.array(whole))
 
 
 def dropped_lines(documents: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     """doc_id, version (a hash of the text), and the numbers of the lines to drop; documents without any are missing."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(_masked(x).alias("line")))
-    hashed = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["line"]).alias("h")))
-    docs = documents.select("doc_id", F.xxhash64("text").alias("version"), hashed.alias("lines")).where("lines is not null")
-    least = F.slice(F.sort_array(F.array_distinct(F.transform(F.filter("lines", lambda x: x["line"] != ""), lambda x: x["h"]))), 1, 2)
-    each = docs.withColumn("least", least).select("doc_id", "version", "least", F.posexplode("lines").alias("at", "l"))
-    each = each.select(
-        "doc_id", "version", "at", F.split("l.line", r"\s+").alias("tokens"),
-        F.coalesce(F.when(F.get("least", F.lit(0)) != F.col("l.h"), F.get("least", F.lit(0))).otherwise(F.get("least", F.lit(1))), F.lit(0)).alias("context"),
-    ).withColumn("n", F.size("tokens")).where(F.col("n") >= LEADING)
-    keyed = each.select("doc_id", "version", "at", "context", F.explode(_keys(F.col("tokens"), F.col("n"))).alias("key"))
-    among = keyed.groupBy("key", "context").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first"))
+    masked = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", VARIABLE, "<*>")).otherwise(F.col("text"))
+    lines = F.transform(F.split(masked, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r")))
+    docs = documents.select("doc_id", F.xxhash64("text").alias("version"), lines.alias("lines")).where("lines is not null")
+    least = F.slice(F.sort_array(F.array_distinct(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.xxhash64(x)))), 1, 2)
+    each = docs.select("doc_id", "version", least.alias("least"), F.posexplode("lines").alias("at", "line"))
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    other = F.when(F.get("least", F.lit(0)) != F.xxhash64("line"), F.get("least", F.lit(0))).otherwise(F.get("least", F.lit(1)))
+    each = each.select("doc_id", "version", "at", "line", F.coalesce(other, F.lit(0)).alias("context"), n.alias("n")).where(F.col("n") >= LEADING)
+    keyed = materialise(each.select("doc_id", "version", "at", "context", F.explode(_keys(F.col("line"), F.col("n"))).alias("key")), "line-keys")
+    among = keyed.groupBy("key", "context").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"))
     recurring = among.groupBy("key").agg(F.count("*").alias("contexts"), F.min("first").alias("first")).where(F.col("contexts") >= contexts)
-    hit = keyed.select("doc_id", "version", "at", "key").join(recurring.select("key", "first"), "key").where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    hit = keyed.select("doc_id", "version", "at", "key").join(recurring.select("key", "first"), "key").where(F.coalesce("doc_id", F.lit(-(2**63))) != F.col("first"))
     return hit.groupBy("doc_id", "version").agg(F.collect_set("at").alias("dropped"))
 
 
