@@ -143,7 +143,7 @@ def quote_grounding(spark, d):
     return docs.join(bench, F.expr("contains(body, quote)")).select("item_id", "doc_id")
 
 
-@q("passage_context", r"WITH n AS (SELECT b.item_id, d.doc_id, trim(regexp_replace(d.text, '\s+', ' ', 'g')) AS s, trim(regexp_replace(b.text, '\s+', ' ', 'g')) AS p FROM benchmark b JOIN documents d ON contains(d.text, b.text)), a AS (SELECT *, instr(lower(s), lower(p)) AS pos FROM n), e AS (SELECT *, greatest(1, pos - 40) AS st, least(length(s), pos + length(p) + 39) AS en FROM a WHERE pos > 0) SELECT item_id, doc_id, CASE WHEN st > 1 THEN '…' ELSE '' END || trim(substr(s, st, pos - st)) AS context_before, substr(s, at, length(p)) AS passage, trim(substr(s, pos + length(p), en - (pos + length(p)) + 1)) || CASE WHEN en < length(s) THEN '…' ELSE '' END AS context_after FROM e")
+@q("passage_context", r"WITH n AS (SELECT b.item_id, d.doc_id, trim(regexp_replace(d.text, '\s+', ' ', 'g')) AS s, trim(regexp_replace(b.text, '\s+', ' ', 'g')) AS p FROM benchmark b JOIN documents d ON contains(d.text, b.text)), a AS (SELECT *, instr(lower(s), lower(p)) AS pos FROM n), e AS (SELECT *, greatest(1, pos - 40) AS st, least(length(s), pos + length(p) + 39) AS en FROM a WHERE pos > 0) SELECT item_id, doc_id, CASE WHEN st > 1 THEN '…' ELSE '' END || trim(substr(s, st, pos - st)) AS context_before, substr(s, pos, length(p)) AS passage, trim(substr(s, pos + length(p), en - (pos + length(p)) + 1)) || CASE WHEN en < length(s) THEN '…' ELSE '' END AS context_after FROM e")
 def passage_context(spark, d):
     bench = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
     hits = table(spark, d, "documents").select("doc_id", "text").join(bench, F.expr("contains(text, quote)"))
