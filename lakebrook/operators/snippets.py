@@ -1,4 +1,4 @@
-"""Bounded excerpts of whole sentences around matched chunks. One grouped Arrow function for each (query, item)."""
+"""Bounded excerpts of whole sentences around matched chunks. An Arrow function over an item's chunks."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SENTENCE_END = re.compile(r"[.!?]+[\"')\]]*(?=\s|$)")
 GAP = " […] "
@@ -45,14 +47,16 @@ def excerpt(pieces: list[tuple[int, str]], matched: set[int], most: int = 2400)
     return whole[:head].rstrip() + GAP + whole[-(most - head - len(GAP)) :].lstrip()
 
 
-def snippets(chunks: DataFrame, matched: DataFrame, most: int = 2400) -> DataFrame:
-    """query_id, evidence_id, snippet for matched (query_id, evidence_id, chunk_index). One item's chunks are one group."""
-    wanted = matched.groupBy("query_id", "evidence_id").agg({"chunk_index": "collect_set"}).withColumnRenamed("collect_set(chunk_index)", "hits")
-    rows = chunks.join(wanted, "evidence_id")
+@F.pandas_udf(StringType())
+def _excerpts(indexes: pd.Series, texts: pd.Series, hits: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([excerpt(list(zip(i, t)), set(h), int(m)) for i, t, h, m in zip(indexes, texts, hits, most)], dtype=object)
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_index")
-        first = pdf.iloc[0]
-        return pd.DataFrame({"query_id": [first["query_id"]], "evidence_id": [first["evidence_id"]], "snippet": [excerpt(list(zip(pdf["chunk_index"], pdf["text"])), set(first["hits"]), most)]})
 
-    return rows.groupBy("query_id", "evidence_id").applyInPandas(cut, "query_id long, evidence_id long, snippet string")
+def snippets(chunks: DataFrame, matched: DataFrame, most: int = 2400) -> DataFrame:
+    """query_id, evidence_id, snippet for matched (query_id, evidence_id, chunk_index). Each matched item's chunks are
+    gathered once, whatever the number of queries it answers."""
+    wanted = matched.groupBy("query_id", "evidence_id").agg(F.collect_set("chunk_index").alias("hits"))
+    used = chunks.join(wanted.select("evidence_id").distinct(), "evidence_id", "left_semi")
+    pieces = used.groupBy("evidence_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("p"))
+    indexes, texts = F.transform("p", lambda c: c["chunk_index"]), F.transform("p", lambda c: c["text"])
+    return wanted.join(pieces, "evidence_id").select("query_id", "evidence_id", _excerpts(indexes, texts, "hits", F.lit(most)).alias("snippet"))

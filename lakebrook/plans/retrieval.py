@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -57,9 +56,9 @@ def match_counts(spark, d):
 @q("snippet")
 def snippet(spark, d):
     """Excerpts around each query's best chunks: an ordered walk over an item's text, so rows only."""
-    s = scored(spark, d)
-    top = index.top_items(s, 10).select("query_id", "evidence_id")
-    matched = index.best_chunks(s, 4).join(top, ["query_id", "evidence_id"], "left_semi").select("query_id", "evidence_id", "chunk_index")
+    best = index.best_chunks(scored(spark, d), 4)
+    top = index.top_items(best.where("rank = 1").drop("rank"), 10).select("query_id", "evidence_id")
+    matched = best.join(top, ["query_id", "evidence_id"], "left_semi").select("query_id", "evidence_id", "chunk_index")
     return snippets(chunks(spark, d), matched)
 
 
