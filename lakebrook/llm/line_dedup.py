@@ -56,14 +56,20 @@ def dropped_lines(documents: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
 
 
 def dedup_lines(documents: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
-    """documents with the text of the lines that stay, n_lines (all lines) and n_dropped; other columns as they are."""
-    drops = dropped_lines(documents, contexts).select(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version"), "dropped")
-    joined = documents.withColumn("version", F.xxhash64("text")).join(drops, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("version") == F.col("of_version")), "left")
-    lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    counts = [F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("dropped").isNotNull(), F.size("dropped")), F.lit(0)).cast("long").alias("n_dropped")]
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in documents.columns], *counts)
+    """documents with the text of the lines that stay, n_lines (all lines) and n_dropped; other columns as they are
+    (columns of the counts' names are replaced)."""
+    drops = dropped_lines(documents, contexts).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("dropped").alias("_dropped"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_version"))
+    joined = documents.join(drops, same, "left")
+    lines, dropped = F.split("text", "\n", -1), F.col("_dropped")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
+    text = F.when(dropped.isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    counts = {
+        "n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long"),
+        "n_dropped": F.coalesce(F.when(dropped.isNotNull(), F.size(dropped)), F.lit(0)).cast("long"),
+    }
+    kept = [text.alias(c) if c == "text" else F.col(c) for c in documents.columns if c not in counts]
+    return joined.select(*kept, *[v.alias(k) for k, v in counts.items()])
 
 
 def query(spark, sf_dir):

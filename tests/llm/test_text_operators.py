@@ -199,3 +199,6 @@ def test_line_dedup_equals_brute_force(spark):
         assert got[d].text == want and got[d].key == 5, d
     assert all(got[20 + i].n_dropped == 0 for i in range(8)) and got[3].n_dropped == 1 and got[0].n_dropped == 0
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "1 as version", "2 as dropped", "3 as n_lines", "4 as line")
+    again = line_dedup.dedup_lines(clash)
+    assert again.columns == ["doc_id", "text", "version", "dropped", "line", "n_lines", "n_dropped"] and {r.doc_id: r.text for r in again.collect()} == {i: r.text for i, r in got.items()}
