@@ -6,7 +6,8 @@ tokens: each line has one key for its whole template and, from GENERALISED token
 token ends at a blank; all of this is string functions in generated code, on each text once. A template recurs if it stands in CONTEXTS or more different surroundings, where a document's surroundings of a
 line are the smallest hash of its other lines: boilerplate stands among ever other lines, while the lines of exact copies
 stand among the same ones and are left to document dedup. Lines of a recurring template are dropped from all documents but
-the one with the smallest doc_id, so that each text stays in the corpus once. Lines of fewer than LEADING tokens stay.
+the one with the smallest doc_id, so that each text stays in the corpus once. Lines of fewer than LEADING tokens have all
+their tokens as leading ones, and so one key for the whole; empty lines are no templates and stay.
 
 Texts are never exploded for good: hashes and line numbers are shuffled, and each document is rebuilt in one join with
 the numbers of its dropped lines. Counts are combined before they are sent; hot templates are a skew join of small rows.
@@ -47,7 +48,7 @@ def dropped_lines(documents: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     each = docs.select("doc_id", "version", least.alias("least"), F.posexplode("lines").alias("at", "line"))
     n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     other = F.when(F.get("least", F.lit(0)) != F.xxhash64("line"), F.get("least", F.lit(0))).otherwise(F.get("least", F.lit(1)))
-    each = each.select("doc_id", "version", "at", "line", F.coalesce(other, F.lit(0)).alias("context"), n.alias("n")).where(F.col("n") >= LEADING)
+    each = each.select("doc_id", "version", "at", "line", F.coalesce(other, F.lit(0)).alias("context"), n.alias("n")).where("line <> ''")
     keyed = materialise(each.select("doc_id", "version", "at", "context", F.explode(_keys(F.col("line"), F.col("n"))).alias("key")), "line-keys")
     among = keyed.groupBy("key", "context").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"))
     recurring = among.groupBy("key").agg(F.count("*").alias("contexts"), F.min("first").alias("first")).where(F.col("contexts") >= contexts)

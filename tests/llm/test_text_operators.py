@@ -202,3 +202,11 @@ def test_line_dedup_equals_brute_force(spark):
     clash = docs.selectExpr("doc_id", "text", "1 as version", "2 as dropped", "3 as n_lines", "4 as line")
     again = line_dedup.dedup_lines(clash)
     assert again.columns == ["doc_id", "text", "version", "dropped", "line", "n_lines", "n_dropped"] and {r.doc_id: r.text for r in again.collect()} == {i: r.text for i, r in got.items()}
+
+
+def test_short_lines_recur_too(spark):
+    rows = [(i, f"Read more\nstory of {'abcdefghij'[i]} told here\n\nLes.\n{i}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[0].text == rows[0][1] and got[0].n_dropped == 0
+    assert all(got[i].text == f"story of {'abcdefghij'[i]} told here\n" and got[i].n_dropped == 3 for i in range(1, 10))
