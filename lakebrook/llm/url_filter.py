@@ -32,6 +32,9 @@ LISTED_DOMAINS = (
     "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org",
 )
 
+#: The listed names under every domain that the pages' hosts have: a name stands under another one in each table.
+LISTED_FAMILIES = tuple(f"{name}.{domain}" for name in sorted({d.split(".")[0] for d in LISTED_DOMAINS}) for domain in ("example.com", "example.net", "example.org"))
+
 #: A cascade of more listed keys than this is refused: filters are literals of the plan and stay small (about 2 MB).
 MAX_LISTED = 1_000_000
 
@@ -151,11 +154,16 @@ def query(spark, sf_dir):
     return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def query_families(spark, sf_dir):
+    return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), listed=LISTED_FAMILIES)
+
+
 def _fits(host: str, path: str) -> str:
     return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
 
 
-ORACLE = f"""
+def oracle(listed) -> str:
+    return f"""
 WITH u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), s AS (
@@ -165,6 +173,9 @@ WITH u AS (
   SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(h, p)} THEN '{h + p}'" for _, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))} ELSE NULL END AS rule FROM s
 )
 SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{h + p}' THEN '{v}'" for v, h, p in RULES)}
-  WHEN {" OR ".join(_fits(d, "") for d in LISTED_DOMAINS)} THEN 'block' ELSE 'allow' END AS verdict
+  WHEN {" OR ".join(_fits(d, "") for d in listed)} THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
+
+
+ORACLE, ORACLE_FAMILIES = oracle(LISTED_DOMAINS), oracle(LISTED_FAMILIES)

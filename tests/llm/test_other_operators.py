@@ -128,6 +128,15 @@ def test_urls(spark):
     assert url_filter.url_verdicts(df.limit(0)).count() == 0
 
 
+def test_listed_families_are_blocked_under_every_domain(spark):
+    hosts = [f"{a}{name}.example.{top}" for a in ("", "m.") for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+    df = spark.createDataFrame([(i, f"http://{h}?q") for i, h in enumerate(hosts)] + [(99, "http://notspam-farm.example.com/x")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(df, listed=url_filter.LISTED_FAMILIES).collect()}
+    assert got.pop(99) == "allow" and set(got.values()) == {"block"}
+    for sf in (SF, "/root/testdata/sf0.01"):
+        assert check(queries.QUERIES["op10_url_filter_families"](spark, sf), queries.ORACLES["op10_url_filter_families"], sf) == ""
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(3000).selectExpr("concat('k', id) as key")
     listed = universe.where("hash(key) % 7 = 0")
