@@ -3,11 +3,12 @@
 Each line is parsed along a tree of fixed depth: by its number of tokens, then by its first LEADING tokens. Tokens with a
 digit are variable fields, "<*>". In a leaf, lines belong to one template if they agree but for one half of their other
 tokens: each line has one key for its whole template and, from GENERALISED tokens on, one for each half left open. A
-token ends at a blank; all of this is string functions in generated code, on each text once. A template recurs if it stands in CONTEXTS or more different surroundings, where a document's surroundings of a
-line are the smallest hash of its other lines: boilerplate stands among ever other lines, while the lines of exact copies
-stand among the same ones and are left to document dedup. Lines of a recurring template are dropped from all documents but
-the one with the smallest doc_id, so that each text stays in the corpus once. Lines of fewer than LEADING tokens have all
-their tokens as leading ones, and so one key for the whole; empty lines are no templates and stay.
+token ends at a blank; all of this is string functions in generated code, on each text once. A template recurs if it
+stands in CONTEXTS or more different documents, where documents with the same set of lines are copies and count as one:
+boilerplate stands in ever other documents, while the lines of copies alone are left to document dedup. Lines of a
+recurring template are dropped from all documents but the one with the smallest doc_id, so that each text stays in the
+corpus once. Lines of fewer than LEADING tokens have all their tokens as leading ones, and so one key for the whole; empty
+lines are no templates and stay.
 
 Texts are never exploded for good: hashes and line numbers are shuffled, and each document is rebuilt in one join with
 the numbers of its dropped lines. Counts are combined before they are sent; hot templates are a skew join of small rows.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-LEADING, GENERALISED, CONTEXTS = 3, 8, 5
+LEADING, GENERALISED, CONTEXTS = 3, 8, 2
 #: A token with a digit. It is tried at token starts only and never gives back, so that long tokens cost one pass.
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
@@ -44,11 +45,11 @@ def dropped_lines(documents: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     masked = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", VARIABLE, "<*>")).otherwise(F.col("text"))
     lines = F.transform(F.split(masked, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r")))
     docs = documents.select("doc_id", F.xxhash64("text").alias("version"), lines.alias("lines")).where("lines is not null")
-    least = F.slice(F.sort_array(F.array_distinct(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.xxhash64(x)))), 1, 2)
-    each = docs.select("doc_id", "version", least.alias("least"), F.posexplode("lines").alias("at", "line"))
+    # the lines as a set: copies have the same, in whatever order
+    whole = F.xxhash64(F.sort_array(F.array_distinct(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.xxhash64(x)))))
+    each = docs.select("doc_id", "version", whole.alias("context"), F.posexplode("lines").alias("at", "line")).where("line <> ''")
     n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    other = F.when(F.get("least", F.lit(0)) != F.xxhash64("line"), F.get("least", F.lit(0))).otherwise(F.get("least", F.lit(1)))
-    each = each.select("doc_id", "version", "at", "line", F.coalesce(other, F.lit(0)).alias("context"), n.alias("n")).where("line <> ''")
+    each = each.select("doc_id", "version", "at", "line", "context", n.alias("n"))
     keyed = materialise(each.select("doc_id", "version", "at", "context", F.explode(_keys(F.col("line"), F.col("n"))).alias("key")), "line-keys")
     among = keyed.groupBy("key", "context").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"))
     recurring = among.groupBy("key").agg(F.count("*").alias("contexts"), F.min("first").alias("first")).where(F.col("contexts") >= contexts)

@@ -210,3 +210,15 @@ def test_short_lines_recur_too(spark):
     got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
     assert got[0].text == rows[0][1] and got[0].n_dropped == 0
     assert all(got[i].text == f"story of {'abcdefghij'[i]} told here\n" and got[i].n_dropped == 3 for i in range(1, 10))
+
+
+def test_blocks_and_lines_of_few_documents_recur(spark):
+    footer = "\n".join(f"footer line {c} of the house" for c in "abcdefghij")
+    rows = [(i, f"own story {c} is told here\n{footer}") for i, c in enumerate("abcdefghijklmnopqrst")]
+    rows += [(100, "a passage that two share\none tale"), (101, "another tale\na passage that two share")]
+    rows += [(110 + i, "a text that is\nthere as copies") for i in range(8)] + [(118, "there as copies\na text that is")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == f"own story {'abcdefghijklmnopqrst'[i]} is told here" for i in range(1, 20))
+    assert got[100] == "a passage that two share\none tale" and got[101] == "another tale"
+    assert all(got[d] == t for d, t in rows if d >= 110)
