@@ -222,3 +222,15 @@ def test_blocks_and_lines_of_few_documents_recur(spark):
     assert got[0] == rows[0][1] and all(got[i] == f"own story {'abcdefghijklmnopqrst'[i]} is told here" for i in range(1, 20))
     assert got[100] == "a passage that two share\none tale" and got[101] == "another tale"
     assert all(got[d] == t for d, t in rows if d >= 110)
+
+
+def test_white_space_is_even_and_quarters_are_open(spark):
+    gaps = [" ", "  ", "\t", "\u00a0", "\u3000", " \u2009\t", "\u202f"]
+    rows = [(i, gap.join(["all", "rights", "are", "ours"]) + f"\ntale {c}") for i, (gap, c) in enumerate(zip(gaps, "abcdefg"))]
+    rows += [(20 + i, f"漢字かな文。\ntale {c}") for i, c in enumerate("hij")]
+    rows += [(30, "one two three k l m n o\ntale k"), (31, "one two three k l x y z\ntale l")]  # half is another: two lines
+    rows += [(40, "six ten out a b c d e\ntale m"), (41, "six ten out a x c d e\ntale n")]  # one quarter is
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    gone = {*range(1, len(gaps)), 21, 22, 41}
+    assert all(got[d] == (t.split("\n")[1] if d in gone else t) for d, t in rows)
