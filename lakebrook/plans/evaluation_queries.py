@@ -122,6 +122,15 @@ def completeness_check(spark, d):
     return both.select(F.coalesce("r", "p").alias("id"), F.when(F.col("p").isNull(), "unexpected").otherwise("missing").alias("problem"))
 
 
+@q("completeness_documents", "SELECT coalesce(l.doc_id, d.doc_id) AS id, CASE WHEN d.doc_id IS NULL THEN 'unexpected' ELSE 'missing' END AS problem FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR d.doc_id IS NULL")
+def completeness_documents(spark, d):
+    """All documents against all labels; completeness_check looks at a prefix of events only."""
+    packet = table(spark, d, "documents").select(F.col("doc_id").alias("p"))
+    review = table(spark, d, "labels").select(F.col("doc_id").alias("r"))
+    both = packet.join(review, F.col("p") == F.col("r"), "full_outer").where("p is null or r is null")
+    return both.select(F.coalesce("r", "p").alias("id"), F.when(F.col("p").isNull(), "unexpected").otherwise("missing").alias("problem"))
+
+
 @q("label_join", "SELECT e.event_id, e.event_type, l.quality FROM events e LEFT JOIN labels l ON l.doc_id = e.event_id")
 def label_join(spark, d):
     responses = table(spark, d, "labels").select(F.col("doc_id").alias("event_id"), "quality").dropDuplicates(["event_id"])

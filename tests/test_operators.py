@@ -194,3 +194,12 @@ def test_streamed_log_equals_its_batch_twin(spark, tmp_path):
     seen = {}
     runlog.run_available(runlog.windowed_counts(stream, "ts", ["event_type"], "1 day", "1 hour"), str(tmp_path / "cp"), lambda df, n: seen.update({(r.event_type, str(r.start_at)): r.n for r in df.collect()}))
     assert seen == {("a", "2026-01-01 00:00:00"): 2, ("b", "2026-01-02 00:00:00"): 1}
+
+
+def test_completeness_has_no_bound_of_ids(spark, tmp_path):
+    from lakebrook.plans.registry import QUERIES
+
+    spark.createDataFrame([(1,), (499,), (500,), (9000,)], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1,), (500,), (9001,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {tuple(r) for r in QUERIES["completeness_documents"](spark, str(tmp_path)).collect()}
+    assert got == {(499, "missing"), (9000, "missing"), (9001, "unexpected")}
