@@ -11,7 +11,8 @@ Text of blocks with a marginal of MARGINAL or more is returned whole: character
 block turned into one space, trimmed, blocks in page order joined by a line break. A <br> is white space.
 
 Defined cases: null html is an empty page; pages without main text give an empty string. Broken markup never fails: a "<"
-that starts no tag is text, open elements end with the page, unknown end tags are passed over. Repeated rows are all
+that starts no tag is text, open elements end with the page, unknown end tags are passed over. Elements without text of
+the page end with their parent; where one has no end tag at all, it ends at the next block's tag. Repeated rows are all
 kept; an empty table gives no rows; extra columns are passed over.
 """
 
@@ -36,8 +37,9 @@ BLOCKS = frozenset(
     "figure figcaption header footer nav aside form fieldset address details summary dialog menu hgroup center label search".split()
 )
 TAGS = sorted(BLOCKS)
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template iframe textarea select button svg math title object audio video canvas".split())
+#: Elements whose content is no text of the page: of raw text up to their end tag, and of elements.
+RAW = frozenset("script style iframe textarea title".split())
+HIDDEN = frozenset("noscript template select button svg math object audio video canvas".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption".split())
 ENDS_P = BLOCKS - {"label"}
@@ -48,10 +50,23 @@ _TAG = re.compile(
     r"<(?:!--(?P<comment>)|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|(?P<end2>/)?(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>|[!?/][^>]*+(?:>|$))"
 )
+_HIDDEN = re.compile(rf"<(/?)({'|'.join(sorted(HIDDEN))})(?=[\s/>])(?!(?<=svg)[^>]*+(?<=/)>)(?!(?<=math)[^>]*+(?<=/)>)", re.I)
 _NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role|data-y)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+def _unclosed(source: str) -> set[int]:
+    """Where start tags of HIDDEN are that no end tag belongs to."""
+    opened: dict[str, list[int]] = {}
+    for m in _HIDDEN.finditer(source):
+        of = opened.setdefault(m[2].lower(), [])
+        if not m[1]:
+            of.append(m.start())
+        elif of:
+            of.pop()
+    return {at for of in opened.values() for at in of}
+
+
 class Page:
     """Block elements in page order and the runs of text between them."""
 
@@ -71,6 +86,10 @@ class Page:
         stack, names = [0], ["html"]
         run: list[str] = []
         links = in_link = 0
+        # open elements from the hidden one inwards; whether that one lacks an end tag and ends at any block's tag
+        hidden: list[str] = []
+        loose = False
+        unclosed = _unclosed(source)
 
         def flush():
             nonlocal links
@@ -85,7 +104,7 @@ class Page:
 
         def say(text: str):
             nonlocal links
-            if text:
+            if text and not hidden:
                 text = references.unescape(text) if "&" in text else text
                 run.append(text)
                 if in_link:
@@ -117,6 +136,28 @@ class Page:
                     at = size if end is None else end.start()
                     run.append(" ")
                 continue
+            if name in HIDDEN and not closing:
+                run.append(" ")
+                # "/>" ends svg and math only; others go on
+                if not (name in ("svg", "math") and source.startswith("/>", at - 2)):
+                    lacks = m.start() in unclosed
+                    if not hidden or loose:
+                        hidden, loose = [name], lacks
+                    elif not lacks:
+                        hidden.append(name)
+                continue
+            if hidden:
+                if closing and name in hidden:
+                    del hidden[len(hidden) - 1 - hidden[::-1].index(name) :]
+                    continue
+                if name in BLOCKS and (loose or closing and name in names[1:]):
+                    hidden = []
+                else:
+                    if name in BLOCKS and not closing:
+                        hidden.append(name)
+                    continue
+            elif name in HIDDEN:
+                continue
             if name == "br":
                 run.append(" ")
                 continue

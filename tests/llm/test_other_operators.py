@@ -186,3 +186,12 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_html_after_elements_without_end_tags():
+    texts = lambda body: html_extract.Page(f"<html><body>{body}<p>Tail.</p></body></html>").texts
+    for start in ("<svg viewBox='0'/>", "<math />", "<svg/><svg><path/></svg>", "<button>Menu", "<select><option>One", "<object data=x>", "<video><source src=x>", "<svg><path d=x>"):
+        assert texts(f"<div>{start}<p>Prose one.</p></div><p>Prose two.</p><svg><title>t</title></svg>") == ["Prose one.", "Prose two.", "Tail."], start
+    for start in ("<button><div>Menu</div></button>", "<svg><title>t</title><g/><foreignObject><p>x</p></foreignObject></svg>", "<template><div><svg><p>x</p></svg></div></template>", "<script>'<p>x'</script>", "<noscript><p>x</p></noscript>"):
+        assert texts(f"<div>{start}<p>Prose one.</p></div>") == ["Prose one.", "Tail."], start
+    assert texts("<header><button>Menu</header><p>Prose.</p><button>Ok</button>") == ["Prose.", "Tail."]
