@@ -126,16 +126,43 @@ def test_word_ids_equal_the_tokenizer():
 
 @pytest.mark.parametrize("histogram", [{}, {4096: 3}, {1: 5}, {2048: 7, 2049: 7}, {100: 4000, 333: 900, 1500: 400, 4096: 10}, {n: 1 + n % 3 for n in range(1, 4097, 7)}])
 def test_plan_uses_every_piece_once_and_fits(histogram):
-    plan = packing.plan(histogram, 4096)
+    sequences = placed_once(histogram)
+    tokens = sum(k * v for k, v in histogram.items())
+    if max(histogram, default=0) < 2000:
+        assert sequences <= 1.001 * tokens / 4096 + 2
+
+
+def placed_once(histogram):
+    plan, bound = packing.plan(histogram, 4096)
     used = Counter()
     for config, times in plan:
         assert times > 0 and sum(length * n for length, n in config) <= 4096
         for length, n in config:
             used[length] += n * times
     assert used == Counter(histogram)
-    tokens = sum(k * v for k, v in histogram.items())
-    if max(histogram, default=0) < 2000:
-        assert sum(t for _, t in plan) <= 1.01 * tokens / 4096 + 2
+    sequences = sum(times for _, times in plan)
+    assert bound <= sequences + 1e-6
+    return sequences
+
+
+@pytest.mark.parametrize("times", [1, 100, 10_000])
+@pytest.mark.parametrize("kind", ["text", "log-normal"])
+def test_the_program_packs_all_pieces_at_every_size(kind, times):
+    """The shares of the program, rounded, place each piece, and the number of columns doesn't grow with the counts."""
+    rng = np.random.default_rng(4)
+    sizes = np.exp(rng.normal(*((6, 1.2) if kind == "log-normal" else (5.4, 0.9)), 8000)).astype(int).clip(1, 4096)
+    histogram = {int(k): int(v) * times for k, v in zip(*np.unique(sizes, return_counts=True))}
+    least = -(-sum(k * v for k, v in histogram.items()) // 4096)
+    assert placed_once(histogram) <= 1.001 * least + 1
+    assert len(packing.plan(histogram, 4096)[0]) < 20 * len(histogram)
+
+
+def test_knapsack_equals_enumeration():
+    lengths, worth = np.array([3, 5, 7]), np.array([0.31, 0.55, 0.69])
+    best, _ = packing._knapsack(lengths, worth, 20)
+    for c in range(21):
+        tried = [i * worth[0] + j * worth[1] + k * worth[2] for i in range(7) for j in range(5) for k in range(3) if 3 * i + 5 * j + 7 * k <= c]
+        assert abs(best[c] - max(tried)) < 1e-9
 
 
 def test_packing_rows(spark):
