@@ -1,18 +1,26 @@
 """Exact top-k inner-product search (operator 8) by multi-resolution segment statistics.
 
-A vector is cut into segments at two resolutions; each segment keeps its mean and the length of its deviations from it.
-By Cauchy-Schwarz the inner product of two vectors is at most the sum, over segments, of n * mean * mean + deviation *
-deviation, which is the same as a lower bound of their distance given their norms. A block of queries meets a block of
-rows: coarse bounds prune against the query's k-th best score so far, fine bounds prune the survivors, and only the rest
-are scored, exactly, in integers.
+A vector is cut into segments at several resolutions; each segment keeps its mean and the length of its deviations from
+it. By Cauchy-Schwarz the inner product of two vectors is at most the sum, over segments, of n * mean * mean + deviation *
+deviation, which is the same as a lower bound of their distance given their norms. Two passes over pairs of blocks:
+
+1. Each query scores, exactly, the rows of each block that its finest bound likes best. The k-th best of all these
+   scores, over all blocks, is the query's floor: no row under it can be among the k best.
+2. Bounds prune against that floor, coarse to fine: segments of 8, 4 and 2 components, then with a half and with three
+   quarters of the pairs taken apart. Only survivors are scored, in integers, and one by one.
+
+On vectors without any structure (independent components), wide segments can't prune, as deviations in random directions
+look alike to them; the finest ones do. Block.hits() counts the survivors.
 
 Rows are dealt by hash into blocks of bounded size, queries into query blocks; each pair of blocks is one task's work,
 its result at most k rows for each query. Nothing is broadcast and nothing is collected.
 
-Defined cases: null vectors, empty ones, and those with a null, NaN or infinite component take no part; nor do those
-with a component of 2**40 or more (their scores would leave 64-bit integers) or with a null id. Vectors of different
-dimensions don't meet. Ties go to the smaller id. A row isn't its own candidate: rows with the query's id are left out.
-Rows that repeat an id as a query give their list once; repeated candidates each count. Empty tables give no rows.
+Defined cases: null vectors, those with a null, NaN or infinite component and those with a null id take no part. Vectors
+of different dimensions don't meet; empty ones meet with score 0. Scores are exact for all finite components: where 64
+bits may not hold every sum they are computed in Python's integers, and a result that is no long raises. Ties go to the
+smaller id. A row isn't its own candidate: rows with the query's id are left out. Rows that repeat an id and a vector as a
+query give their list once; of an id with several vectors the best hits of all are ranked together. Repeated candidates
+each count. Empty tables give no rows. Extra columns are passed over.
 """
 
 from __future__ import annotations
@@ -22,95 +30,166 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import materialise, partitions, table
 
-COARSE, FINE = 4, 16
-SCHEMA = "query_id long, vec_id long, score long"
+#: Components of a segment, coarse to fine; below two, pairs of which a half (1.5) or three quarters (1.25) are taken apart.
+WIDTHS = (8, 4, 2, 1.5, 1.25)
+#: Seeds of a block that are scored for each query, in times k; and how many it offers, in times k over all blocks.
+SEEDS, OFFERED = 8, 4
+#: Integers beyond this aren't all doubles.
+EXACT = 2**53
+HITS = "query_id long, vec_id long, score long"
+LONGS = np.iinfo(np.int64)
 
 
-def _statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+def _statistics(x: np.ndarray, width: int) -> np.ndarray:
     """sqrt(n) * mean and deviation length of each segment, so that the bound is a plain inner product of both."""
     n, d = x.shape
-    width = -(-d // segments)
+    segments = -(-d // width)
     cut = np.zeros((n, width * segments))
     cut[:, :d] = x
     cut = cut.reshape(n, segments, width)
     mean = cut.mean(axis=2)
-    return mean * np.sqrt(width), np.sqrt(np.maximum(((cut - mean[:, :, None]) ** 2).sum(axis=2), 0))
+    return np.concatenate([mean * np.sqrt(width), np.sqrt(((cut - mean[:, :, None]) ** 2).sum(axis=2))], axis=1)
+
+
+def resolution(x: np.ndarray, width: float) -> np.ndarray:
+    if width >= 2:
+        return _statistics(x, int(width))
+    period = int(2 / (width - 1))
+    apart = np.arange(x.shape[1]) % period < period - 2
+    return np.concatenate([x[:, apart], _statistics(x[:, ~apart], 2)], axis=1)
 
 
-def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Row by row inner products, exact: in doubles where these hold every sum."""
-    if q.size and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**52:
+def integers(components: np.ndarray) -> np.ndarray:
+    """floor(1024 * x) of doubles: as 64-bit integers where these hold all of them, else as Python's."""
+    if not components.size or float(np.abs(components).max()) < 2**52:
+        return np.floor(components * 1024).astype(np.int64)
+    # 1024 * x only moves the exponent; from 2**53 on a double is an integer, and Python's product can't overflow
+    whole = [int(v) * 1024 if abs(v) >= EXACT else int(np.floor(v * 1024)) for v in components.ravel()]
+    return np.array(whole, object).reshape(components.shape)
+
+
+def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Row by row inner products, exact: in doubles or 64 bits where these hold every sum, else in Python's integers."""
+    if not q.size:
+        return np.zeros(len(q), np.int64)
+    most = q.shape[1] * int(np.abs(q).max()) * int(np.abs(x).max())
+    if most < EXACT:
         return np.einsum("ij,ij->i", q.astype(float), x.astype(float)).astype(np.int64)
-    return np.einsum("ij,ij->i", q, x)
-
-
-def block_top(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of x for each row of q: query ids, row ids, scores."""
-    order = np.argsort(vid, kind="stable")
-    vid, x = vid[order], x[order]
-    n = len(vid)
-    qf, xf = q.astype(float), x.astype(float)
-    slack = 1e-9 * (np.linalg.norm(qf, axis=1)[:, None] * np.linalg.norm(xf, axis=1)[None, :]) + 1e-6
-    qc, xc = np.concatenate(_statistics(qf, COARSE), axis=1), np.concatenate(_statistics(xf, COARSE), axis=1)
-    qs, xs = np.concatenate(_statistics(qf, FINE), axis=1), np.concatenate(_statistics(xf, FINE), axis=1)
-    bound = qc @ xc.T + slack
-    bound[qid[:, None] == vid[None, :]] = -np.inf
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in range(len(qid)):
-        able = np.flatnonzero(bound[i] > -np.inf)
-        if not len(able):
-            continue
-        # the most promising rows by the coarse bound set the score to beat
-        first = able if len(able) <= 4 * k else able[np.argpartition(-bound[i][able], 4 * k)[: 4 * k]]
-        best = np.sort(_exact(np.broadcast_to(q[i], (len(first), q.shape[1])), x[first]))
-        floor = best[-k] if len(best) >= k else -np.inf
-        left = able[bound[i][able] >= floor]
-        left = left[xs[left] @ qs[i] + slack[i][left] >= floor]
-        score = _exact(np.broadcast_to(q[i], (len(left), q.shape[1])), x[left])
-        top = np.lexsort((vid[left], -score))[:k]
-        out.append((np.full(len(top), qid[i]), vid[left][top], score[top]))
-    if not out:
-        return (np.empty(0, np.int64),) * 3
-    return tuple(np.concatenate(c) for c in zip(*out))  # type: ignore[return-value]
-
-
-def exact_top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, rows_per_block: int = 4096, queries_per_block: int = 2048) -> DataFrame:
+    if most < 2**63:
+        return np.einsum("ij,ij->i", q, x)
+    return np.array([sum(int(a) * int(b) for a, b in zip(u, v)) for u, v in zip(q, x)] + [None], object)[:-1]
+
+
+class Block:
+    """Bounds and exact scores between some queries and some rows, both of finite doubles."""
+
+    def __init__(self, qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray):
+        order = np.argsort(vid, kind="stable")
+        x = x[order]
+        self.qid, self.vid = qid, vid[order]
+        self.exact = integers(q), integers(x)
+        # bounds are in units of 1024 and of a power of two, so that they never overflow
+        scaled = []
+        self.unit = 20
+        for v in (q, x):
+            high = int(np.frexp(np.abs(v).max(initial=1))[1])
+            v = np.where(np.abs(v) < 2.0**52, np.floor(np.clip(v, -(2.0**52), 2.0**52) * 1024) / 1024, v)
+            scaled.append(np.ldexp(v, -high))
+            self.unit += high
+        self.q, self.x = scaled
+        self.slack = 1e-9 * np.linalg.norm(self.q, axis=1)[:, None] * np.linalg.norm(self.x, axis=1)[None, :]
+        self.own = qid[:, None] == self.vid[None, :]
+
+    def bound(self, width: float) -> np.ndarray:
+        return np.where(self.own, -np.inf, resolution(self.q, width) @ resolution(self.x, width).T + self.slack)
+
+    def exactly(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Scores of the pairs (i, j), a bounded number at a time."""
+        step = max(1, (1 << 21) // max(1, self.q.shape[1]))
+        parts = [scores(self.exact[0][i[a : a + step]], self.exact[1][j[a : a + step]]) for a in range(0, len(i), step)]
+        return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+    def seeds(self, k: int, offered: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query the `offered` best scores among the SEEDS * k rows of the highest bounds."""
+        bound = self.bound(WIDTHS[-1])
+        most = min(SEEDS * k, len(self.vid))
+        j = np.argpartition(-bound, most - 1, axis=1)[:, :most].ravel()
+        i = np.repeat(np.arange(len(self.qid)), most)
+        able = bound[i, j] > -np.inf
+        i, j, score = self._best(i[able], j[able], offered)
+        return self.qid[i], self.vid[j], np.array([min(max(int(s), LONGS.min), LONGS.max) for s in score], np.int64) if score.dtype == object else score
+
+    def _best(self, i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs (i, j) the k best of each query, with their scores."""
+        score = self.exactly(i, j)
+        order = np.lexsort((self.vid[j], -score, i)) if score.dtype != object else np.array(sorted(range(len(i)), key=lambda p: (i[p], -score[p], self.vid[j[p]])), np.int64)
+        i, j, score = i[order], j[order], score[order]
+        best = np.arange(len(i)) - np.searchsorted(i, np.arange(len(self.qid)))[i] < k
+        return i[best], j[best], score[best]
+
+    def hits(self, floor: list[int | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """The k best rows of each query that reach its floor; and the pairs that each resolution left, coarse to fine."""
+        least = np.array([-np.inf if f is None else f / 2**self.unit for f in floor])
+        left, counts = ~self.own, []
+        for width in WIDTHS:
+            left &= self.bound(width) >= least[:, None] - 1e-12 * np.abs(least)[:, None]
+            counts.append(int(left.sum()))
+        i, j, score = self._best(*np.nonzero(left), k)
+        if score.dtype == object and any(not LONGS.min <= s <= LONGS.max for s in score):
+            raise OverflowError("a score among the best is no 64-bit integer")
+        return self.qid[i], self.vid[j], score.astype(np.int64), counts
+
+
+def _frame(found) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found[:3])))
+
+
+NOTHING = tuple(np.empty(0, np.int64) for _ in range(3))
+
+
+def exact_top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, rows_per_block: int = 4096, queries_per_block: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
-    scaled = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"),
-        F.transform("embedding", lambda x: F.when(F.abs(x.cast("double")) < 2.0**40, F.floor(x.cast("double") * 1024)).cast("long")).alias("v"),
-    ).where("vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null)")
-    n = scaled.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % query_every == 0).alias("q")).first()
+    dealt = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    finite = "vec_id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+    dealt = dealt.where(finite).withColumn("d", F.size("v"))
+    n = dealt.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % query_every == 0).alias("q")).first()
     blocks = max(partitions(spark), -(-n["n"] // rows_per_block))
     query_blocks = max(1, -(-n["q"] // queries_per_block))
-    dealt = scaled.withColumn("d", F.size("v"))
-    rows = dealt.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = (
-        dealt.where(F.col("vec_id") % query_every == 0)
-        .dropDuplicates(["vec_id", "v"])
-        .withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(query_blocks)).cast("int"))
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    )
+    rows = dealt.withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    asked = dealt.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id", "v"]).withColumn("qb", F.pmod(F.xxhash64("vec_id", "v", F.lit(7)), F.lit(query_blocks)).cast("int"))
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    key = ["d", "qb", "b"]
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def block(left: pd.DataFrame, right: pd.DataFrame) -> Block | None:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-        a, b, c = block_top(left["vec_id"].to_numpy(np.int64), np.stack(left["v"]).astype(np.int64), right["vec_id"].to_numpy(np.int64), np.stack(right["v"]).astype(np.int64), k)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+            return None
+        return Block(left["vec_id"].to_numpy(np.int64), np.stack(left["v"]).astype(float), right["vec_id"].to_numpy(np.int64), np.stack(right["v"]).astype(float))
+
+    offered = min(k, max(1, -(-OFFERED * k // blocks)))
+
+    def seed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        met = block(left, right)
+        return _frame(met.seeds(k, offered) if met else NOTHING)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        met = block(left, right)
+        return _frame(met.hits([None if pd.isna(f) else int(f) for f in left["floor"]], k) if met else NOTHING)
 
-    key = ["d", "qb", "b"]
-    near = queries.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(meet, SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
+    seeds = asked.withColumn("b", everywhere).groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(seed, HITS)
+    # as text, so that no 64-bit floor is rounded on its way through pandas
+    floors = seeds.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("string").alias("floor"))
+    asked = materialise(asked.join(floors, "vec_id", "left"), "queries")
+    near = asked.withColumn("b", everywhere).groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(meet, HITS)
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir):
     return exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
-
 ORACLE = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -91,17 +92,62 @@ def test_components_of_long_ways_and_stars(spark):
 def test_top_k_equals_brute_force_with_odd_vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=9)]) for i in range(450)]
-    rows += [(1000, rows[3][1]), (1001, rows[3][1]), (900, None), (901, [1.0, None] + [0.0] * 7), (902, [float("nan")] * 9), (903, [float("inf")] * 9), (904, []), (905, [1e300] * 9), (906, [1.0, 2.0]), (None, rows[0][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows += [(1000, rows[3][1]), (1001, rows[3][1]), (900, None), (901, [1.0, None] + [0.0] * 7), (902, [float("nan")] * 9), (903, [float("inf")] * 9), (904, []), (2000, []), (906, [1.0, 2.0]), (None, rows[0][1])]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<double>, b int, d int, v int")
+    valid = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows[:452]}
+    got = same_top_k(df, valid, {2000: [(1, 904, 0)]})
+    assert got == same_top_k(df.unionByName(df.where("vec_id = 200")).select("vec_id", "embedding"), valid, {2000: [(1, 904, 0)]}, twice=200)
+    assert top_k.exact_top_k(df.limit(0)).count() == 0
+
+
+def same_top_k(df, valid, others, twice=None):
     got = {}
     for r in top_k.exact_top_k(df, rows_per_block=100, queries_per_block=2).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    valid = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows[:452]}
+    everything = dict(got)
     for q in [i for i in valid if i % 100 == 0]:
-        best = sorted(((-sum(a * b for a, b in zip(valid[q], v)), i) for i, v in valid.items() if i != q))[:10]
+        pool = [(i, v) for i, v in valid.items() if i != q] + [(i, valid[i]) for i in [twice] if i not in (None, q)]
+        best = sorted((-sum(a * b for a, b in zip(valid[q], v)), i) for i, v in pool)[:10]
         assert sorted(got.pop(q)) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert not got
-    assert top_k.exact_top_k(df.limit(0)).count() == 0
+    assert got == others
+    return {q for q in everything}
+
+
+@pytest.mark.parametrize("power", [21, 30, 34, 44, 52, 60])
+def test_top_k_is_exact_for_large_components(spark, power):
+    """Products leave 64 bits, sums may come back; what is over a long raises."""
+    rng = np.random.default_rng(power)
+    large = [float(int(rng.integers(1, 8)) * 2**power) for _ in range(40)]
+    rows = [(i, [large[i], -large[i], float(rng.normal())]) for i in range(40)] + [(100, [large[0], large[0], 1.5]), (200, [0.5, 0.25, 3.0 if power < 52 else 0.0])]
+    valid = {i: [int(np.floor(x)) * 1024 if abs(x) >= 2**43 else int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fits = all(abs(sum(a * b for a, b in zip(valid[q], valid[i]))) < 2**63 for q in (0, 100, 200) for i in valid if i != q)
+    if fits:
+        same_top_k(df, valid, {})
+    else:
+        with pytest.raises(Exception, match="no 64-bit integer"):
+            top_k.exact_top_k(df, rows_per_block=100).collect()
+        few = spark.createDataFrame([r for r in rows if r[0]], "vec_id long, embedding array<double>").where("vec_id <> 200")
+        same_top_k(few, {i: v for i, v in valid.items() if i not in (0, 200)}, {})
+
+
+def test_top_k_bounds_hold_and_prune():
+    """No bound is under its score, and fewer pairs are scored than there are: on the given vectors and on clustered ones."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 64))
+    given = np.stack(pq.read_table("/root/testdata/sf0.1/embeddings.parquet").column("embedding").to_numpy(zero_copy_only=False)).astype(float)
+    for x, most in ((given, 0.5), (centres[rng.integers(0, 20, 2000)] + 0.1 * rng.normal(size=(2000, 64)), 0.2)):
+        ids = np.arange(len(x))
+        block = top_k.Block(ids[::100], x[::100], ids, x)
+        whole = np.floor(x * 1024)
+        score = whole[::100] @ whole.T
+        for width in top_k.WIDTHS:
+            bound = np.ldexp(block.bound(width), block.unit)
+            assert (bound[~block.own] >= score[~block.own] - 1e-3).all()
+        asked, _, seeds = block.seeds(10, 10)
+        floor = [int(np.sort(seeds[asked == q])[-10]) for q in ids[::100]]
+        *_, counts = block.hits(floor, 10)
+        assert counts == sorted(counts, reverse=True) and counts[-1] < most * score.size, counts
 
 
 def test_chats(spark):
