@@ -57,9 +57,10 @@ def near_copies(seed, groups, most, length):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("region, tile, most", [(64, 512, 6), (4, 5, 40)])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, region, tile, most):
-    """The second case sends all through dense groups, pivots, windows and tiles."""
+@pytest.mark.parametrize("region, tile, local, most", [(64, 512, 2048, 6), (4, 5, 3, 40), (64, 5, 12, 40)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, region, tile, local, most):
+    """The second and third case send groups through dense regions, and through pivots, windows and tiles on DataFrames."""
+    monkeypatch.setattr(jaccard_join, "LOCAL", local)
     monkeypatch.setattr(jaccard_join, "REGION", region)
     monkeypatch.setattr(jaccard_join, "TILE", tile)
     rows = near_copies(5, 14 if most > 10 else 40, most, 60)
@@ -75,6 +76,56 @@ def test_jaccard_join_on_nothing_and_null_ids(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in rows) == [(-1, -1), (1, 1), (1, 1), (2, 2)]
 
 
+@pytest.mark.parametrize("seed, documents, edits", [(1, 400, 30), (2, 300, 60), (3, 150, 8), (4, 40, 200)])
+def test_voronoi_regions_decide_the_pairs_of_a_group(seed, documents, edits):
+    """One group of documents at all distances from each other: classes equal brute force, and the counters say how."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    for i in range(documents):
+        base = sets[int(rng.integers(0, len(sets)))] if sets else rng.integers(1, 2**63, 200).astype(np.uint64)
+        copy = base.copy()
+        copy[rng.integers(0, len(copy), int(rng.integers(0, edits)))] = rng.integers(1, 2**63, 1).astype(np.uint64)[0]
+        sets.append(np.unique(np.concatenate([copy, rng.integers(1, 2**63, int(rng.integers(0, edits))).astype(np.uint64)])))
+    group = jaccard_join.Group(sets)
+    group.join(np.arange(documents), np.empty(0, np.int64))
+    parent = list(range(documents))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(documents):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    classes = lambda of: sorted(sorted(i for i in range(documents) if of(i) == r) for r in {of(i) for i in range(documents)})
+    assert classes(find) == classes(lambda i: int(group.label[i]))
+    counts = group.counts
+    assert counts["on whole sets"] + counts["to pivots"] < documents * (documents - 1) / 2
+    if documents > 100 and edits > 10:
+        assert counts["by the triangle"] + counts["out of the window"] > counts["on whole sets"], counts
+
+
+def test_a_group_of_near_equal_documents_is_one_region():
+    """Documents within the threshold of one pivot need no further pair."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.append(base, rng.integers(1, 2**63, 3).astype(np.uint64))) for _ in range(3000)]
+    group = jaccard_join.Group(sets)
+    group.join(np.arange(3000), np.empty(0, np.int64))
+    assert len(set(group.label.tolist())) == 1 and group.counts["on whole sets"] == 0 and group.counts["to pivots"] <= 12 * 3000
+
+
+def test_dense_regions_leave_out_what_can_not_pair():
+    """Documents that share a common passage only, and so little that no two of them are within the threshold."""
+    n, at = np.full(500, 100, np.int32), np.full(500, 20, np.int32)
+    assert jaccard_join._runs(np.arange(500), n, at, (0, None, 0, 0, 0))[0] is None
+    edges = jaccard_join._runs(np.arange(500), n, np.where(np.arange(500) < 3, 2, at), (0, None, 0, 0, 0))[0]
+    assert edges.tolist() == [[0, 1], [0, 2]]
+
+
 def test_sketches_bound_the_symmetric_difference():
     rng = np.random.default_rng(1)
     for _ in range(200):
