@@ -10,16 +10,22 @@ notices, adverts, forms and reader comments.
 Text of blocks with a marginal of MARGINAL or more is returned whole: character references decoded, white space inside a
 block turned into one space, trimmed, blocks in page order joined by a line break. A <br> is white space.
 
+A page is read once, from left to right, in time linear in its length; pages are scored in batches of bounded size.
+
 Defined cases: null html is an empty page; pages without main text give an empty string. Broken markup never fails: a "<"
-that starts no tag is text, open elements end with the page, unknown end tags are passed over. Elements without text of
-the page end with their parent; where one has no end tag at all, it ends at the next block's tag. Repeated rows are all
-kept; an empty table gives no rows; extra columns are passed over.
+that starts no tag is text, open elements end with the page, unknown end tags are passed over, an open comment lasts to
+the end. Quotes that a page's tags can't be read with are plain characters from there on. Elements without text of the
+page end with their parent; where one has no end tag at all, scripts and styles as well, it ends at the next block's tag.
+Elements nested deeper than DEEPEST count as children of the one there. Repeated rows are all kept; an empty table gives
+no rows; extra columns are passed over.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +37,8 @@ from .common import table
 
 MARGINAL = 0.5
 TRAINING_PAGES, EPOCHS = 240, 220
+#: Levels of a tree, as in browsers; characters of the pages that are scored at once (or one longer page).
+DEEPEST, BATCH_CHARS = 512, 1 << 21
 #: Elements that are variables; all others are inline, and their text belongs to the block around them.
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody thead tfoot tr td th "
@@ -39,31 +47,97 @@ BLOCKS = frozenset(
 TAGS = sorted(BLOCKS)
 #: Elements whose content is no text of the page: of raw text up to their end tag, and of elements.
 RAW = frozenset("script style iframe textarea title".split())
-HIDDEN = frozenset("noscript template select button svg math object audio video canvas".split())
+HIDDEN = frozenset("noscript template select button svg object audio video canvas".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption".split())
 ENDS_P = BLOCKS - {"label"}
 #: An open element of the first kind ends where one of the second starts.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr", "tbody", "tfoot"}}
 
-_TAG = re.compile(
-    r"<(?:!--(?P<comment>)|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|(?P<end2>/)?(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>|[!?/][^>]*+(?:>|$))"
-)
-_HIDDEN = re.compile(rf"<(/?)({'|'.join(sorted(HIDDEN))})(?=[\s/>])(?!(?<=svg)[^>]*+(?<=/)>)(?!(?<=math)[^>]*+(?<=/)>)", re.I)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile("[>\"']")
 _NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role|data-y)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+
+
+@dataclass(frozen=True, slots=True)
+class Tag:
+    start: int
+    end: int
+    closing: bool
+    name: str  # "" for comments, declarations and raw text with its tags
+    attrs: str
+    shut: bool = False  # ends with "/>"
+
+
+def tags(source: str) -> Iterator[Tag]:
+    """The tags of a page in order, and what else is no text; every character is passed a bounded number of times."""
+    at, last = 0, source.rfind(">")
+    quoting, absent, endless = True, set(), set()
+    while (at := source.find("<", at)) >= 0:
+        start = at
+        if source.startswith("<!--", start):
+            whole = next((x for x in ("<!-->", "<!--->") if source.startswith(x, start)), None)
+            close = source.find("-->", start + 4)
+            at = start + len(whole) if whole else close + 3 if close >= 0 else len(source)
+            yield Tag(start, at, False, "", "")
+            continue
+        if last < start:
+            if source.startswith(("</", "<!", "<?"), start) and not _NAME.match(source, start):
+                at = len(source)
+                yield Tag(start, at, False, "", "")
+                continue
+            return
+        named = _NAME.match(source, start)
+        if named is None:
+            at = start + 1
+            if source.startswith(("</", "<!", "<?"), start):
+                at = source.find(">", start) + 1
+                yield Tag(start, at, False, "", "")
+            continue
+        end, seek = -1, named.end()
+        while quoting:
+            stop = _STOP.search(source, seek)
+            if stop is None:
+                quoting = False  # no tag that starts here ends with its quotes; nor is it tried again
+                break
+            seek, mark = stop.end(), stop.group()
+            if mark == ">":
+                end = seek
+                break
+            if mark not in absent:
+                other = source.find(mark, seek)
+                if other < 0:
+                    absent.add(mark)
+                else:
+                    seek = other + 1
+        if end < 0:
+            end = source.find(">", named.end()) + 1
+        closing, name = source[start + 1] == "/", named[1].lower()
+        at = end
+        if name in RAW and not closing and name not in endless:
+            until = _RAW_ENDS[name].search(source, at)
+            if until is None:
+                endless.add(name)
+            else:
+                at = source.find(">", until.end()) + 1 or len(source)
+                yield Tag(start, at, False, "", "")
+                continue
+        yield Tag(start, end, closing, name, source[named.end() : end - 1], source[end - 2] == "/")
 
 
-def _unclosed(source: str) -> set[int]:
-    """Where start tags of HIDDEN are that no end tag belongs to."""
+def _unclosed(found: list[Tag]) -> set[int]:
+    """Where start tags are, of elements without text of the page, that no end tag belongs to."""
     opened: dict[str, list[int]] = {}
-    for m in _HIDDEN.finditer(source):
-        of = opened.setdefault(m[2].lower(), [])
-        if not m[1]:
-            of.append(m.start())
-        elif of:
-            of.pop()
+    for tag in found:
+        if tag.name in HIDDEN or tag.name in RAW:
+            of = opened.setdefault(tag.name, [])
+            if not tag.closing:
+                if not (tag.name == "svg" and tag.shut):
+                    of.append(tag.start)
+            elif of:
+                of.pop()
     return {at for of in opened.values() for at in of}
 
 
@@ -83,20 +157,22 @@ class Page:
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        stack, names = [0], ["html"]
+        stack, names, count = [0], ["html"], Counter()
         run: list[str] = []
         links = in_link = 0
         # open elements from the hidden one inwards; whether that one lacks an end tag and ends at any block's tag
         hidden: list[str] = []
+        inside: Counter = Counter()
         loose = False
-        unclosed = _unclosed(source)
+        found = list(tags(source))
+        unclosed = _unclosed(found)
 
         def flush():
             nonlocal links
             if run:
                 text = " ".join("".join(run).split())
                 if text:
-                    self.owner.append(stack[-1])
+                    self.owner.append(stack[min(len(stack), DEEPEST) - 1])
                     self.texts.append(text)
                     self.linked.append(min(links, len(text)))
                 run.clear()
@@ -110,53 +186,47 @@ class Page:
                 if in_link:
                     links += len(text.strip())
 
-        at, size = 0, len(source)
-        while at < size:
-            m = _TAG.search(source, at)
-            if m is None:
-                say(source[at:])
-                break
-            say(source[at : m.start()])
-            at = m.end()
-            if m["comment"] is not None:
-                end = source.find("-->", m.start() + 4)
-                # "<!-->" is a whole comment
-                at = size if end < 0 else end + 3
-                if source.startswith(("<!-->", "<!--->"), m.start()):
-                    at = source.index(">", m.start()) + 1
-                continue
-            name = m["name"] or m["name2"]
-            if name is None:
-                continue
-            name = name.lower()
-            closing = m["end"] or m["end2"]
-            if name in RAW or name == "head":
-                if not closing and name != "head":
-                    end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
-                    at = size if end is None else end.start()
+        def leave():
+            count[names.pop()] -= 1
+            stack.pop()
+
+        at = 0
+        for tag in found:
+            say(source[at : tag.start])
+            at = tag.end
+            name, closing = tag.name, tag.closing
+            if not name:
+                if not source.startswith("<!", tag.start):
                     run.append(" ")
                 continue
-            if name in HIDDEN and not closing:
+            if name == "head":
+                continue
+            if (name in HIDDEN or name in RAW) and not closing:
                 run.append(" ")
-                # "/>" ends svg and math only; others go on
-                if not (name in ("svg", "math") and source.startswith("/>", at - 2)):
-                    lacks = m.start() in unclosed
+                # "/>" ends svg only; others go on
+                if not (name == "svg" and tag.shut):
+                    lacks = tag.start in unclosed
                     if not hidden or loose:
-                        hidden, loose = [name], lacks
+                        hidden, inside, loose = [name], Counter([name]), lacks
                     elif not lacks:
                         hidden.append(name)
+                        inside[name] += 1
                 continue
             if hidden:
-                if closing and name in hidden:
-                    del hidden[len(hidden) - 1 - hidden[::-1].index(name) :]
+                if closing and inside[name]:
+                    while True:
+                        inside[last := hidden.pop()] -= 1
+                        if last == name:
+                            break
                     continue
-                if name in BLOCKS and (loose or closing and name in names[1:]):
-                    hidden = []
+                if name in BLOCKS and (loose or closing and count[name]):
+                    hidden, inside = [], Counter()
                 else:
                     if name in BLOCKS and not closing:
                         hidden.append(name)
+                        inside[name] += 1
                     continue
-            elif name in HIDDEN:
+            elif name in HIDDEN or name in RAW:
                 continue
             if name == "br":
                 run.append(" ")
@@ -171,52 +241,60 @@ class Page:
                 continue
             flush()
             if closing:
-                if name in names[1:]:
+                if count[name]:
                     while names[-1] != name:
-                        names.pop()
-                        stack.pop()
-                    names.pop()
-                    stack.pop()
+                        leave()
+                    leave()
                     in_link = 0
                 continue
             if name == "html":
                 continue
             if names[-1] == "p" and name in ENDS_P:
-                names.pop()
-                stack.pop()
-            elif names[-1] in ENDED_BY and name in ENDED_BY[names[-1]]:
+                leave()
+            else:
                 while names[-1] in ENDED_BY and name in ENDED_BY[names[-1]]:
-                    names.pop()
-                    stack.pop()
+                    leave()
             marks, label = [], 0
-            attrs = m["attrs"] or m["attrs2"]
-            if attrs:
-                for key, *values in _NAMED.findall(attrs):
+            if tag.attrs:
+                for key, *values in _NAMED.findall(tag.attrs):
                     value = "".join(values)
                     if key.lower() == "data-y":
                         label = int(value == "1")
                     else:
                         marks += [w.lower() for w in _WORD.findall(value)]
-            self.parent.append(stack[-1])
+            self.parent.append(stack[min(len(stack), DEEPEST) - 1])
             self.tag.append(name)
             self.marks.append(tuple(marks))
             self.label.append(label)
             stack.append(len(self.tag) - 1)
             names.append(name)
+            count[name] += 1
+        say(source[at:])
         flush()
 
 
 @dataclass(frozen=True)
 class Forest:
-    """The trees of many pages, as arrays over all their nodes."""
+    """The trees of many pages, as arrays over all their nodes. A node's features are statistics, its tag and its words."""
 
     parent: np.ndarray
     kind: np.ndarray
     levels: list[np.ndarray]  # nodes by depth, roots first
-    x: np.ndarray
+    shape: np.ndarray  # nodes x (1 + STATISTICS)
+    tag: np.ndarray
+    marked: tuple[np.ndarray, np.ndarray]  # (node, word), each pair once
+    words: int
     label: np.ndarray
     first: np.ndarray  # each page's first node
 
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        own, tag, word = np.split(weights, [self.shape.shape[1], self.shape.shape[1] + len(TAGS)])
+        return self.shape @ own + tag[self.tag] + np.bincount(self.marked[0], word[self.marked[1]], len(self.tag))
+
+    def slopes(self, residual: np.ndarray) -> np.ndarray:
+        """The derivative of residual * scores by the weights."""
+        return np.concatenate([residual @ self.shape, np.bincount(self.tag, residual, len(TAGS)), np.bincount(self.marked[1], residual[self.marked[0]], self.words)])
+
 
 STATISTICS = 10
 
@@ -227,20 +305,18 @@ def forest(pages: list[Page], words: dict[str, int]) -> Forest:
     parent = np.full(n, -1)
     own = np.zeros((n, 4))  # characters, linked characters, words, marks that end sentences
     depth = np.zeros(n, np.int64)
-    tags = {t: i for i, t in enumerate(TAGS)}
-    x = np.zeros((n, 1 + STATISTICS + len(TAGS) + len(words)))
-    kind = np.zeros(n, np.int64)
-    label = np.zeros(n, np.int64)
-    for p, base in zip(pages, first):
-        for i, (up, tag, marks) in enumerate(zip(p.parent, p.tag, p.marks)):
+    numbers = {t: i for i, t in enumerate(TAGS)}
+    shape = np.zeros((n, 1 + STATISTICS))
+    tag, kind, label = (np.zeros(n, np.int64) for _ in range(3))
+    marked: list[tuple[int, int]] = []
+    for p, base in zip(pages, first.tolist()):
+        for i, (up, name, marks) in enumerate(zip(p.parent, p.tag, p.marks)):
             if up >= 0:
                 parent[base + i] = base + up
                 depth[base + i] = depth[base + up] + 1
-            x[base + i, 1 + STATISTICS + tags[tag]] = 1
-            kind[base + i] = 0 if tag in TEXTUAL else 1 if tag in ("div", "section", "article", "main") else 2
-            for w in marks:
-                if w in words:
-                    x[base + i, 1 + STATISTICS + len(TAGS) + words[w]] = 1
+            tag[base + i] = numbers[name]
+            kind[base + i] = 0 if name in TEXTUAL else 1 if name in ("div", "section", "article", "main") else 2
+            marked += [(base + i, words[w]) for w in {*marks} if w in words]
         label[base : base + len(p.tag)] = p.label
         for o, t, k in zip(p.owner, p.texts, p.linked):
             own[base + o] += (len(t), k, t.count(" ") + 1, t.count(".") + t.count(",") + t.count("!") + t.count("?"))
@@ -250,8 +326,8 @@ def forest(pages: list[Page], words: dict[str, int]) -> Forest:
     for level in reversed(levels[1:]):
         np.add.at(whole, parent[level], whole[level])
     chars, links, count, ends = np.maximum(whole, 0).T
-    x[:, 0] = 1
-    x[:, 1:9] = np.stack(
+    shape[:, 0] = 1
+    shape[:, 1:9] = np.stack(
         [
             np.log1p(chars) / 8, links / np.maximum(chars, 1), np.minimum(1, ends / np.maximum(count, 1)), count < 4, count >= 20, chars == 0,
             np.log1p(own[:, 0]) / 8, own[:, 1] / np.maximum(own[:, 0], 1),
@@ -259,9 +335,10 @@ def forest(pages: list[Page], words: dict[str, int]) -> Forest:
         axis=1,
     )
     page_chars = np.repeat(chars[first[:-1]], np.diff(first)) if n else chars
-    x[:, 9] = chars / np.maximum(page_chars, 1)
-    x[:, 10] = (links / np.maximum(chars, 1) > 0.6) & (chars > 0)
-    return Forest(parent, kind, levels, x, label, first)
+    shape[:, 9] = chars / np.maximum(page_chars, 1)
+    shape[:, 10] = (links / np.maximum(chars, 1) > 0.6) & (chars > 0)
+    pairs = np.array(marked, np.int64).reshape(-1, 2)
+    return Forest(parent, kind, levels, shape, tag, (pairs[:, 0], pairs[:, 1]), len(words), label, first)
 
 
 def marginals(f: Forest, unary: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +370,7 @@ class Model:
 
     def content(self, pages: list[Page]) -> list[np.ndarray]:
         f = forest(pages, self.words)
-        p, _ = marginals(f, f.x @ self.weights, self.edge)
+        p, _ = marginals(f, f.scores(self.weights), self.edge)
         return [p[a:b] for a, b in zip(f.first[:-1], f.first[1:])]
 
 
@@ -301,17 +378,17 @@ def train(pages: list[Page], ridge: float = 0.004) -> Model:
     """Maximum likelihood by gradient ascent (Adam) on weights and edge potentials, with a ridge."""
     words = {w: i for i, w in enumerate(sorted({w for p in pages for m in p.marks for w in m}))}
     f = forest(pages, words)
-    theta = np.zeros(f.x.shape[1] + 12)
+    theta = np.zeros(f.shape.shape[1] + len(TAGS) + len(words) + 12)
     y = f.label.astype(float)
     child = np.flatnonzero(f.parent >= 0)
     seen = np.zeros((3, 2, 2))
     np.add.at(seen, (f.kind[child], f.label[f.parent[child]], f.label[child]), 1)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, EPOCHS + 1):
-        p, joint = marginals(f, f.x @ theta[:-12], theta[-12:].reshape(3, 2, 2))
+        p, joint = marginals(f, f.scores(theta[:-12]), theta[-12:].reshape(3, 2, 2))
         expected = np.zeros((3, 2, 2))
         np.add.at(expected, f.kind[child], joint[child])
-        slope = np.concatenate([f.x.T @ (y - p), (seen - expected).ravel()]) / len(pages) - ridge * theta
+        slope = np.concatenate([f.slopes(y - p), (seen - expected).ravel()]) / len(pages) - ridge * theta
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         theta += 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
@@ -453,8 +530,12 @@ def extract(pages: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
+            before = np.cumsum([0] + [64 + (len(s) if s else 0) for s in b.column(2).to_pylist()])
+            lo = 0
+            while lo < b.num_rows:
+                most = int(np.searchsorted(before, before[lo] + BATCH_CHARS, "right")) - 1
+                part = b.slice(lo, max(1, most - lo))
+                lo += part.num_rows
                 texts = extract_texts(model, part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
