@@ -15,12 +15,10 @@ QUERIES = {
     "op8_top_k": top_k.query,
     "op9_chat_format": chat_format.query,
     "op10_url_filter": url_filter.query,
-    "op10_url_filter_families": url_filter.query_families,
 }
 
 ORACLES = {
     "op8_top_k": top_k.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
-    "op10_url_filter_families": url_filter.ORACLE_FAMILIES,
 }

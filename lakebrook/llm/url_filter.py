@@ -4,11 +4,13 @@ A cascade stores a list of keys exactly with respect to a complete key universe.
 listed keys; level 2 one of the universe's unlisted keys that level 1 lets through; level 3 one of the listed keys that
 level 2 lets through, and so on until a level lets nothing wrong through. A key's first rejecting level decides: an odd
 one says unlisted, an even one says listed; without any, the last level's side holds. The universe is every candidate
-key of the corpus, so the answers are exact for it and no URL row is ever joined or shuffled: filters are literals of
-bounded size. The only shuffle is the distinct of candidate keys, combined before it is sent.
+key of the corpus, so the answers are exact for it and no URL row is ever joined or shuffled: each filter is one literal
+of the plan. Lists of more than MOST_KEYS keys are dealt by hash into several cascades, each over its part of the
+universe; the plan then grows by about 2 MB for a million listed keys. The only shuffle is the distinct of candidate
+keys, combined before it is sent.
 
 Null cases: a null URL, or one without "://", has empty host and path, fits no rule and is allowed. Repeated rows are
-judged alike and all kept. An empty table gives an empty result. Extra columns are passed over.
+judged alike and all kept. An empty table gives an empty result; without rules and listed domains all is allowed. Extra columns are passed over.
 """
 
 from __future__ import annotations
@@ -26,17 +28,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path) of the contract.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: Domains blocked where no rule fits; with all their subdomains.
-LISTED_DOMAINS = (
-    "adult-x.example.com", "ads-track.example.com", "casino-win.example.net",
-    "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org",
-)
+#: Names blocked where no rule fits, under every domain that the pages' hosts have; with all their subdomains.
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_DOMAINS = tuple(f"{name}.{domain}" for name in LISTED_NAMES for domain in ("example.com", "example.net", "example.org"))
 
-#: The listed names under every domain that the pages' hosts have: a name stands under another one in each table.
-LISTED_FAMILIES = tuple(f"{name}.{domain}" for name in sorted({d.split(".")[0] for d in LISTED_DOMAINS}) for domain in ("example.com", "example.net", "example.org"))
-
-#: A cascade of more listed keys than this is refused: filters are literals of the plan and stay small (about 2 MB).
-MAX_LISTED = 1_000_000
+#: Listed keys of one cascade: its filters stay under about 2 MB.
+MOST_KEYS = 1_000_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -53,7 +50,8 @@ class Bloom:
     hashes: int
 
     def passes(self, key: Column, level: int) -> Column:
-        words, bits = F.array(*[F.lit(w) for w in self.words]), 64 * len(self.words)
+        # one literal, which Spark folds into an array of longs
+        words, bits = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>"), 64 * len(self.words)
         test = F.lit(True)
         for i in range(self.hashes):
             p = _position(key, level, i, bits)
@@ -76,43 +74,55 @@ def _bloom(keys: DataFrame, count: int, level: int, bits_per_key: float = 12.0)
     return Bloom(tuple(found.get(i, 0) for i in range(words)), hashes)
 
 
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts))
+
+
+def _levels(listed: DataFrame, universe: DataFrame, most: int) -> tuple[Bloom, ...]:
+    levels: list[Bloom] = []
+    wrong = [listed, universe]
+    count = wrong[0].count()
+    while count and len(levels) < most:
+        side = len(levels) % 2
+        bloom = _bloom(wrong[side], count, len(levels))
+        levels.append(bloom)
+        wrong[1 - side] = wrong[1 - side].where(bloom.passes(F.col("key"), len(levels) - 1))
+        count = wrong[1 - side].count()
+    if count:
+        raise RuntimeError("the cascade did not close; its hash functions are broken")
+    return tuple(levels)
+
+
 @dataclass(frozen=True)
 class Cascade:
-    levels: tuple[Bloom, ...]
+    """Filters, level by level, of each part of the keys."""
+
+    parts: tuple[tuple[Bloom, ...], ...]
 
     @staticmethod
     def build(listed: DataFrame, universe: DataFrame, max_levels: int = 24) -> "Cascade":
         """listed and universe: one column key, distinct. Listed keys need not occur in the universe."""
-        sides = [listed.select("key"), universe.select("key").join(listed.select("key"), "key", "left_anti")]
-        levels: list[Bloom] = []
-        wrong = [sides[0], sides[1]]
-        count = wrong[0].count()
-        if count > MAX_LISTED:
-            raise ValueError(f"{count} listed keys; the bound of a cascade is {MAX_LISTED}: split the list by hash and the universe alike")
-        while count and len(levels) < max_levels:
-            side = len(levels) % 2
-            bloom = _bloom(wrong[side], count, len(levels))
-            levels.append(bloom)
-            wrong[1 - side] = wrong[1 - side].where(bloom.passes(F.col("key"), len(levels) - 1))
-            count = wrong[1 - side].count()
-        if count:
-            raise RuntimeError("the cascade did not close; its hash functions are broken")
-        return Cascade(tuple(levels))
+        unlisted = universe.select("key").join(listed.select("key"), "key", "left_anti")
+        parts = max(1, math.ceil(listed.count() / MOST_KEYS))
+        if parts == 1:
+            return Cascade((_levels(listed.select("key"), unlisted, max_levels),))
+        return Cascade(tuple(_levels(*(side.select("key").where(_part(F.col("key"), parts) == i) for side in (listed, unlisted)), max_levels) for i in range(parts)))
 
     def holds(self, key: Column) -> Column:
-        if not self.levels:
-            return F.lit(False)
-        # without a rejecting level, the last level's side: listed for an odd number of levels
-        verdict = F.lit(len(self.levels) % 2 == 1)
-        for i in reversed(range(len(self.levels))):
-            verdict = F.when(~self.levels[i].passes(key, i), F.lit(i % 2 == 1)).otherwise(verdict)
-        return verdict
+        held = F.lit(False)
+        for part, levels in enumerate(self.parts):
+            # without a rejecting level, the last level's side: listed for an odd number of levels
+            verdict = F.lit(len(levels) % 2 == 1)
+            for i in reversed(range(len(levels))):
+                verdict = F.when(~levels[i].passes(key, i), F.lit(i % 2 == 1)).otherwise(verdict)
+            held = verdict if len(self.parts) == 1 else F.when(_part(key, len(self.parts)) == part, verdict).otherwise(held)
+        return held
 
 
 def candidates(host: Column, path: Column, keys: list[tuple[str, str]]) -> Column:
     """Every key that a rule of this shape could have for the URL: host suffixes of at most as many labels as any rule
     has, with path prefixes of the rules' lengths."""
-    deepest = max(len(h.split(".")) for h, _ in keys)
+    deepest = max((len(h.split(".")) for h, _ in keys), default=0)
     lengths = sorted({len(p) for _, p in keys})
     labels = F.split(host, r"\.")
     parts = []
@@ -121,7 +131,7 @@ def candidates(host: Column, path: Column, keys: list[tuple[str, str]]) -> Colum
         for length in lengths:
             fits = (F.size(labels) >= n) & (F.length(path) >= length) & (host != "")
             parts.append(F.when(fits, F.concat(suffix, F.substring(path, 1, length))))
-    return F.filter(F.array(*parts), lambda k: k.isNotNull())
+    return F.filter(F.array(*parts).cast("array<string>"), lambda k: k.isNotNull())
 
 
 def url_verdicts(pages: DataFrame, rules=RULES, listed=LISTED_DOMAINS) -> DataFrame:
@@ -154,10 +164,6 @@ def query(spark, sf_dir):
     return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
-def query_families(spark, sf_dir):
-    return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), listed=LISTED_FAMILIES)
-
-
 def _fits(host: str, path: str) -> str:
     return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
 
@@ -178,4 +184,4 @@ FROM r
 """
 
 
-ORACLE, ORACLE_FAMILIES = oracle(LISTED_DOMAINS), oracle(LISTED_FAMILIES)
+ORACLE = oracle(LISTED_DOMAINS)
