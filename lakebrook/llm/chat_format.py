@@ -7,8 +7,9 @@ the maximal ones, of which equal ones are one, under the smallest conv_id. Both
 they are sent, so that a common first turn or a conversation logged a million times is one row. Only the turns of maximal
 conversations are gathered and rendered.
 
-Defined cases: turns are ordered by turn, role and text hash, nulls first; turns that repeat are all kept. A null role is
-rendered as "unknown", a null text as an empty one; both differ from the written-out values in the comparison. Rows with
+Defined cases: turns are ordered by turn, role and the text's MD5, nulls first; turns that repeat are all kept. A null
+role is rendered as "unknown", a null text as an empty one; both differ from the written-out values in the comparison.
+Where a role or text holds a marker's beginning, "<|im_", it is written "< |im_", so that no text can pass for a turn. Rows with
 a null conv_id make one conversation. An empty table gives no rows. Extra columns are passed over. A conversation is one
 rendered row and so gathered by one task, however long it is.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-OPEN, SHUT = "<|im_start|>", "<|im_end|>\n"
+OPEN, SHUT, MARKER = "<|im_start|>", "<|im_end|>\n", "<|im_"
 
 
 def _hash(seed: int, *values: Column) -> Column:
@@ -28,9 +29,13 @@ def _hash(seed: int, *values: Column) -> Column:
     return F.xxhash64(F.lit(seed), *parts)
 
 
+def _plain(text: Column) -> Column:
+    return F.replace(text, F.lit(MARKER), F.lit(f"{MARKER[0]} {MARKER[1:]}"))
+
+
 def format_chats(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies, chat of each maximal conversation of (conv_id, turn, role, text)."""
-    turns = conversations.select("conv_id", "turn", "role", "text").withColumn("body", _hash(3, F.col("text")))
+    turns = conversations.select("conv_id", "turn", "role", "text").withColumn("body", F.md5(F.col("text").cast("binary")))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
     numbered = turns.select("conv_id", "turn", "role", "body").withColumn("k", F.row_number().over(order))
     whole = Window.partitionBy("conv_id")
@@ -43,9 +48,9 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     shorter = prefixes.where("k < n").groupBy("k", "p", "q").agg(F.lit(1).alias("one")).drop("one")
     complete = prefixes.where("k = n").groupBy("k", "p", "q").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     maximal = complete.join(shorter, ["k", "p", "q"], "left_anti").select(F.col("conv_id").alias("kept_id"), F.col("k").cast("long").alias("n_turns"), "n_copies")
-    turn = F.struct("turn", "role", "body", F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.struct("turn", "role", "body", _plain(F.coalesce("text", F.lit(""))).alias("text"))
     gathered = turns.join(maximal, F.col("conv_id").eqNullSafe(F.col("kept_id"))).groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    rendered = F.transform("turns", lambda t: F.concat(F.lit(OPEN), F.coalesce(t["role"], F.lit("unknown")), F.lit("\n"), t["text"], F.lit(SHUT)))
+    rendered = F.transform("turns", lambda t: F.concat(F.lit(OPEN), _plain(F.coalesce(t["role"], F.lit("unknown"))), F.lit("\n"), t["text"], F.lit(SHUT)))
     return gathered.select("conv_id", "n_turns", "n_copies", F.array_join(rendered, "").alias("chat"))
 
 
@@ -55,8 +60,8 @@ def query(spark, sf_dir):
 
 ORACLE = """
 WITH t AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
-    '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS piece
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+    '<|im_start|>' || replace(coalesce(role, 'unknown'), '<|im_', '< |im_') || chr(10) || replace(coalesce(text, ''), '<|im_', '< |im_') || '<|im_end|>' || chr(10) AS piece
   FROM conversations
 ), p AS (
   SELECT conv_id, k, n, string_agg(piece, '') OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chat FROM t
