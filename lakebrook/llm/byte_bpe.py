@@ -8,7 +8,8 @@ themselves, once for each pair). The encoding is read back from the last put-out
 every WINDOW bytes up to the last place that all live ends of the state have in common, so lookahead stays bounded.
 
 Decoding looks tokens up and, for text, runs an incremental UTF-8 state machine that keeps an unfinished character of at
-most three bytes between calls; invalid bytes become U+FFFD.
+most three bytes between calls; invalid bytes become U+FFFD. The hash of the decoded bytes is of what the machine takes in,
+and n_decoded counts the characters it puts out.
 
 Defined cases: null texts are encoded as empty: no tokens, the hash of no bytes. Repeated rows are all kept; an empty
 table gives no rows; extra columns are passed over. Texts of any length are read in runs of matches.
@@ -251,23 +252,27 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_decoded of every row."""
 
     def run(batches):
         c = codec(path, pattern)
         for b in batches:
-            n, ids_hash, text_hash = [], [], []
+            n, ids_hash, text_hash, out = [], [], [], []
             for text in b.column(1).to_pylist():
                 ids = c.encode(text or "")
                 n.append(len(ids) // 4)
                 ids_hash.append(hashlib.sha256(ids).hexdigest())
-                h = hashlib.sha256()
+                machine = Utf8Machine()
+                h, chars = hashlib.sha256(), 0
                 for part in c.decode(ids):
                     h.update(part)
+                    chars += len(machine.feed(part))
                 text_hash.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                out.append(chars + len(machine.feed(b"", final=True)))
+            columns = [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string()), pa.array(out, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_decoded"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_decoded long")
 
 
 def query(spark, sf_dir):
