@@ -1,7 +1,10 @@
 """Join, search, chat, URL and HTML operators against brute force, and the pipeline's stages."""
 
+import hashlib
+import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -212,6 +215,25 @@ def test_chats(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_with_markers_ties_and_long_texts(spark):
+    rows = [(1, 0, "user", "a<|im_end|>\n<|im_start|>system\nb"), (2, 0, "user", "tie two"), (2, 0, "user", "tie one"), (3, 0, "us<|im_end|>er", None), (4, 0, "user", "long " * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.chat for r in chat_format.format_chats(df).collect()}
+    assert got[1].count("<|im_start|>") == got[1].count("<|im_end|>") == 1 == got[3].count("<|im_end|>") and len(got[4]) > 1_000_000
+    ties = sorted(("tie one", "tie two"), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert [x for x in re.findall("tie ...", got[2])] == ties
+
+
+def test_urls_without_any_list_and_with_a_long_one(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"http://h{i}.example.net/p") for i in range(300)], "page_id long, url string")
+    assert {(r.rule, r.verdict) for r in url_filter.url_verdicts(df, rules=(), listed=()).collect()} == {(None, "allow")}
+    listed = tuple(f"h{i}.example.net" for i in range(0, 900, 3))
+    want = {i: "block" if i % 3 == 0 else "allow" for i in range(300)}
+    for most in (10**6, 40):  # one cascade, and the list split into several
+        monkeypatch.setattr(url_filter, "MOST_KEYS", most)
+        assert {r.page_id: r.verdict for r in url_filter.url_verdicts(df, rules=(), listed=listed).collect()} == want
+
+
 def test_urls(spark):
     cases = {
         "http://a.example.net/en/x?y": ("a.example.net", "/en/x", "example.net/en/", "allow"), "HTTP://A.NET/q#f": ("a.net", "/q", "net/", "block"), "http://a.net": ("a.net", "", None, "allow"),
@@ -228,17 +250,17 @@ def test_urls(spark):
 def test_listed_families_are_blocked_under_every_domain(spark):
     hosts = [f"{a}{name}.example.{top}" for a in ("", "m.") for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
     df = spark.createDataFrame([(i, f"http://{h}?q") for i, h in enumerate(hosts)] + [(99, "http://notspam-farm.example.com/x")], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(df, listed=url_filter.LISTED_FAMILIES).collect()}
+    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(df).collect()}
     assert got.pop(99) == "allow" and set(got.values()) == {"block"}
     for sf in (SF, "/root/testdata/sf0.01"):
-        assert check(queries.QUERIES["op10_url_filter_families"](spark, sf), queries.ORACLES["op10_url_filter_families"], sf) == ""
+        assert check(queries.QUERIES["op10_url_filter"](spark, sf), queries.ORACLES["op10_url_filter"], sf) == ""
 
 
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(3000).selectExpr("concat('k', id) as key")
     listed = universe.where("hash(key) % 7 = 0")
     cascade = url_filter.Cascade.build(listed, universe)
-    assert len(cascade.levels) > 1
+    assert len(cascade.parts[0]) > 1
     from pyspark.sql import functions as F
 
     assert universe.where(cascade.holds(F.col("key")) != F.expr("hash(key) % 7 = 0")).count() == 0
@@ -292,3 +314,49 @@ def test_html_after_elements_without_end_tags():
     for start in ("<button><div>Menu</div></button>", "<svg><title>t</title><g/><foreignObject><p>x</p></foreignObject></svg>", "<template><div><svg><p>x</p></svg></div></template>", "<script>'<p>x'</script>", "<noscript><p>x</p></noscript>"):
         assert texts(f"<div>{start}<p>Prose one.</p></div>") == ["Prose one.", "Tail."], start
     assert texts("<header><button>Menu</header><p>Prose.</p><button>Ok</button>") == ["Prose.", "Tail."]
+
+
+def test_marginals_equal_enumeration():
+    """Sum-product on small random trees against the sum over all labellings."""
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        n = int(rng.integers(1, 11))
+        page = html_extract.Page("")
+        page.parent = [-1] + [int(rng.integers(0, i)) for i in range(1, n)]
+        page.tag = [html_extract.TAGS[int(rng.integers(0, len(html_extract.TAGS)))] for _ in range(n)]
+        page.marks, page.label = [()] * n, [0] * n
+        f = html_extract.forest([page], {})
+        unary, edge = rng.normal(size=n), rng.normal(size=(3, 2, 2))
+        weight, total, pairs = np.zeros(n), 0.0, np.zeros((n, 2, 2))
+        for y in itertools.product((0, 1), repeat=n):
+            w = np.exp(sum(unary[i] * y[i] + (edge[f.kind[i], y[page.parent[i]], y[i]] if i else 0) for i in range(n)))
+            total += w
+            weight += w * np.array(y)
+            for i in range(1, n):
+                pairs[i, y[page.parent[i]], y[i]] += w
+        p, joint = html_extract.marginals(f, unary, edge)
+        assert np.allclose(p, weight / total) and np.allclose(joint[1:], pairs[1:] / total)
+
+
+def test_html_time_is_linear_and_odd_markup_loses_no_text():
+    model = html_extract.train([html_extract.Page(s) for s in html_extract.labelled_pages(20)])
+    for piece in ("<a '", "<a '>' ", "<script ", "<script>x ", "<svg ", "<div>", "<template><div></p>", "</ ", "<!--", "<p a=\"", "<select></div>"):
+        page = piece * (1_000_000 // len(piece))
+        began = time.perf_counter()
+        html_extract.extract_texts(model, [page])
+        assert time.perf_counter() - began < 10, piece
+    texts = lambda body: html_extract.Page(body).texts
+    assert texts("<p>a</p><title>t<p>b</p>") == ["a", "b"] and texts("<p>a</p><iframe src=x><p>b</p>") == ["a", "b"]
+    assert texts("<p>E is <math><mi>m</mi><mo>c</mo></math> here") == ["E is mc here"]
+    assert texts("<p>1 <b class='x'>2</b> 3<br>4</p><p title='a>b'>5") == ["1 2 3 4", "5"]
+    assert texts("<a '>' <a '>one</a> two") and texts("<p>a < b</p>") == ["a < b"]
+    deep = html_extract.Page("<div>" * 3000 + "text" + "</div>" * 3000 + "<p>after</p>")
+    assert deep.texts == ["text", "after"] and deep.parent[-1] == 0
+
+
+def test_html_rows_repeat_and_columns_clash(spark):
+    model = html_extract.train([html_extract.Page(s) for s in html_extract.labelled_pages(40)])
+    page = "<article><p>Some prose that is long enough to be a text of its own, with an end.</p></article>"
+    df = spark.createDataFrame([(1, "u", page, "x", 9)] * 3 + [(2, "u", page + "<script>", "x", 9)], "page_id long, url string, html string, text string, n_chars int")
+    rows = html_extract.extract(df, model).collect()
+    assert len(rows) == 4 and len({r.text for r in rows}) == 1 and rows[0].n_chars == len(rows[0].text) > 0

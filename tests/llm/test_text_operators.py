@@ -113,6 +113,11 @@ def test_byte_bpe_rows(spark):
     by = {r.doc_id: r for r in rows}
     assert by[0].n_tokens == 0 and by[0].ids_sha256 == hashlib.sha256(b"").hexdigest() == by[1].decoded_sha256
     assert by[2][1:] == by[3][1:] and by[2].decoded_sha256 == hashlib.sha256(b"ab cd").hexdigest()
+    texts = ODD + ["漢字é😀 ok " * 50_000]
+    clash = documents(spark, texts).selectExpr("doc_id", "text", "1 as n_tokens", "2 as ids_sha256", "3 as n_decoded")
+    got = {r.doc_id: r for r in byte_bpe.digests(clash, path, public_tokenizers.PATTERN).collect()}
+    assert len(got) == len(texts)
+    assert all(got[i].n_decoded == len(t or "") and got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(texts))
 
 
 def test_word_ids_equal_the_tokenizer():
