@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import returning, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 WINDOW = 4096
@@ -272,7 +272,7 @@ def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
             columns = [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string()), pa.array(out, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_decoded"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_decoded long")
+    return documents.select("doc_id", "text").mapInArrow(returning(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_decoded long")
 
 
 def query(spark, sf_dir):

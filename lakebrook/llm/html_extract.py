@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import returning, table
 
 MARGINAL = 0.5
 TRAINING_PAGES, EPOCHS = 240, 220
@@ -539,7 +539,7 @@ def extract(pages: DataFrame, model: Model) -> DataFrame:
                 texts = extract_texts(model, part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(returning(run), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import returning, table
 from .text_statistics import statistics
 from .training import held_out, labelled_features
 
@@ -163,7 +163,7 @@ def score(documents: DataFrame, model: Additive) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(returning(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep(documents: DataFrame, model: Additive) -> DataFrame:
@@ -174,7 +174,7 @@ def keep(documents: DataFrame, model: Additive) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(model.score(statistics(b.column(at))[1]) >= THRESHOLD))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(returning(run), documents.schema)
 
 
 def query(spark, sf_dir):

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import returning
 from .text_statistics import FEATURES, statistics
 
 #: crc32(doc_id as text) mod 5 == 0 marks the rows held out from every fit.
@@ -34,7 +35,7 @@ def labelled_features(documents: DataFrame, labels: DataFrame, most: int) -> tup
             _, f = statistics(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("quality").cast(pa.int32()), pa.array(list(f), pa.list_(pa.float64()))], ["quality", "f"])
 
-    found = rows.select("doc_id", "quality", "text").mapInArrow(measure, "quality int, f array<double>").toPandas()
+    found = rows.select("doc_id", "quality", "text").mapInArrow(returning(measure), "quality int, f array<double>").toPandas()
     if not len(found):
         return np.zeros((0, len(FEATURES))), np.zeros(0, np.int64)
     x, y = np.stack(found["f"].to_numpy()), found["quality"].to_numpy()
