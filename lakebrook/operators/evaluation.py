@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,15 +41,15 @@ def role(a_min: Column, a_max: Column, b_min: Column, b_max: Column) -> Column:
 
 
 def allocations(counts: Mapping[str, int], size: int, order: Sequence[str]) -> dict[str, int]:
-    """A balanced sample size for every label present: an even share each, the rest to the smallest, ties by order."""
-    present = [x for x in order if counts.get(x, 0)]
-    if not len(present) <= size <= sum(counts.values()):
+    """A balanced sample size for every label present: all labels are filled to one level, as far as they have rows, and
+    the first in order that have more get what is left over."""
+    held = {label: counts[label] for label in order if counts.get(label)}
+    filled = lambda level: sum(min(n, level) for n in held.values())
+    if size < len(held) or size > filled(max(held.values(), default=0)):
         raise ValueError("the sample must cover every label and not exceed the rows")
-    got = {x: min(counts[x], size // len(present)) for x in present}
-    for _ in range(size - sum(got.values())):
-        open_ = [x for x in present if got[x] < counts[x]]
-        got[min(open_, key=lambda x: (got[x], present.index(x)))] += 1
-    return got
+    level = bisect_right(range(size + 1), size, key=filled) - 1
+    above = [label for label, n in held.items() if n > level][: size - filled(level)]
+    return {label: min(n, level) + (label in above) for label, n in held.items()}
 
 
 def stratified_sample(rows: DataFrame, label: str, item: str, sizes: Mapping[str, int], seed: str) -> DataFrame:

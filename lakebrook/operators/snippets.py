@@ -1,62 +1,53 @@
-"""Bounded excerpts of whole sentences around matched chunks. An Arrow function over an item's chunks."""
+"""Bounded excerpts of whole sentences around matched chunks, as joins over offsets in the item's text."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-_SENTENCE_END = re.compile(r"[.!?]+[\"')\]]*(?=\s|$)")
+from ..sources.transcripts import strip
+
+#: Where a sentence ends; a mark is put there.
+SENTENCE_END, MARK = r"(?U)([.!?]+[\"')\]]*)(?=\s|$)", "\u0001"
 GAP = " […] "
 
 
-def excerpt(pieces: list[tuple[int, str]], matched: set[int], most: int = 2400) -> str:
-    """Sentences that touch a matched chunk, each with the one before; runs of sentences are joined by an ellipsis.
-
-    Text without sentence ends is cut like too long an excerpt: two thirds from its start, the rest from its end.
-    """
-    kept = [(i, t.strip()) for i, t in pieces if t and t.strip()]
-    if not kept or not matched:
-        return ""
-    text = " ".join(t for _, t in kept)
-    bounds = [m.end() for m in _SENTENCE_END.finditer(text)]
-    if not bounds or text[bounds[-1] :].strip():
-        bounds.append(len(text))
-    spans = [(a, b) for a, b in zip([0, *bounds], bounds) if text[a:b].strip()]
-    wanted, at = set(), 0
-    for i, t in kept:
-        if i in matched:
-            for k, (a, b) in enumerate(spans):
-                if at < b and at + len(t) > a:
-                    wanted |= {k, max(0, k - 1)}
-        at += len(t) + 1
-    parts: list[str] = []
-    for k in sorted(wanted):
-        sentence = text[spans[k][0] : spans[k][1]].strip()
-        if parts and k - 1 in wanted:
-            parts[-1] += " " + sentence
-        else:
-            parts.append(sentence)
-    whole = GAP.join(parts) if parts else text
-    if len(whole) <= most:
-        return whole
-    head = most * 2 // 3
-    return whole[:head].rstrip() + GAP + whole[-(most - head - len(GAP)) :].lstrip()
+def offsets(chunks: DataFrame) -> DataFrame:
+    """evidence_id, chunk_index, text, low, high: where each chunk lies in its item's chunks joined by blanks."""
+    kept = chunks.select("evidence_id", "chunk_index", strip(F.col("text")).alias("text")).where("text <> ''")
+    before = Window.partitionBy("evidence_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    low = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))
+    return kept.withColumn("low", low).withColumn("high", F.col("low") + F.length("text"))
 
 
-@F.pandas_udf(StringType())
-def _excerpts(indexes: pd.Series, texts: pd.Series, hits: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([excerpt(list(zip(i, t)), set(h), int(m)) for i, t, h, m in zip(indexes, texts, hits, most)], dtype=object)
+def sentence_spans(placed: DataFrame) -> DataFrame:
+    """evidence_id, k, sentence, low, high: the sentences of each item, in order, white space between them included."""
+    ordered = F.sort_array(F.collect_list(F.struct("chunk_index", "text")))
+    whole = placed.groupBy("evidence_id").agg(F.array_join(F.transform(ordered, lambda c: c["text"]), " ").alias("text"))
+    pieces = whole.select("evidence_id", F.posexplode(F.split(F.regexp_replace("text", SENTENCE_END, "$1" + MARK), MARK)).alias("at", "piece"))
+    order = Window.partitionBy("evidence_id").orderBy("at")
+    high = F.sum(F.length("piece")).over(order)
+    spans = pieces.withColumn("high", high).withColumn("low", F.col("high") - F.length("piece")).withColumn("sentence", strip(F.col("piece"))).where("sentence <> ''")
+    return spans.select("evidence_id", F.row_number().over(order).alias("k"), "sentence", "low", "high")
+
+
+def bounded(text, most: int):
+    """text, or where it is longer than most, two thirds of that from its start and the rest from its end."""
+    head = most * 2 // 3
+    cut = F.concat(F.rtrim(F.substring(text, 1, head)), F.lit(GAP), F.ltrim(F.right(text, F.lit(most - head - len(GAP)))))
+    return F.when(F.length(text) > most, cut).otherwise(text)
 
 
 def snippets(chunks: DataFrame, matched: DataFrame, most: int = 2400) -> DataFrame:
-    """query_id, evidence_id, snippet for matched (query_id, evidence_id, chunk_index). Each matched item's chunks are
-    gathered once, whatever the number of queries it answers."""
-    wanted = matched.groupBy("query_id", "evidence_id").agg(F.collect_set("chunk_index").alias("hits"))
-    used = chunks.join(wanted.select("evidence_id").distinct(), "evidence_id", "left_semi")
-    pieces = used.groupBy("evidence_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("p"))
-    indexes, texts = F.transform("p", lambda c: c["chunk_index"]), F.transform("p", lambda c: c["text"])
-    return wanted.join(pieces, "evidence_id").select("query_id", "evidence_id", _excerpts(indexes, texts, "hits", F.lit(most)).alias("snippet"))
+    """query_id, evidence_id, snippet for matched (query_id, evidence_id, chunk_index): the sentences that touch a matched
+    chunk, each with the one before; runs of sentences are joined by an ellipsis. Texts of unmatched items aren't moved."""
+    placed = offsets(chunks.join(matched.select("evidence_id").distinct(), "evidence_id", "left_semi"))
+    hit = placed.drop("text").join(matched.select("query_id", "evidence_id", "chunk_index").distinct(), ["evidence_id", "chunk_index"])
+    spans = sentence_spans(placed)
+    touching = hit.select("query_id", "evidence_id", F.col("low").alias("from"), F.col("high").alias("to")).join(spans, "evidence_id").where("from < high and to > low")
+    wanted = touching.select("query_id", "evidence_id", F.explode(F.array(F.col("k") - 1, F.col("k"))).alias("k")).distinct()
+    run = F.col("k") - F.row_number().over(Window.partitionBy("query_id", "evidence_id").orderBy("k"))
+    told = wanted.join(spans.select("evidence_id", "k", "sentence"), ["evidence_id", "k"]).withColumn("run", run)
+    joined = lambda what, by: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, what))), lambda x: x[what]), " " if what == "sentence" else GAP)
+    runs = told.groupBy("query_id", "evidence_id", "run").agg(joined("sentence", "k").alias("passage"))
+    return runs.groupBy("query_id", "evidence_id").agg(joined("passage", "run").alias("all")).select("query_id", "evidence_id", bounded(F.col("all"), most).alias("snippet"))

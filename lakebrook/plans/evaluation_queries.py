@@ -29,7 +29,10 @@ def latency_summary(spark, d):
     return attempts(spark, d).groupBy("provider").agg(F.round(F.sum("latency_seconds"), 3).alias("total"), F.round(F.sum(F.when(bad, F.col("latency_seconds")).otherwise(0.0)), 3).alias("rejected"), F.count_if(bad).alias("rejected_calls"))
 
 
-@q("label_counts", "SELECT label, coalesce(n, 0) AS n FROM (VALUES ('good'), ('bad'), ('unclear')) v(label) LEFT JOIN (SELECT CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS label, count(*) AS n FROM labels GROUP BY 1) USING (label)")
+LABELS_SQL = "SELECT label, coalesce(n, 0) AS n FROM (VALUES ('good'), ('bad'), ('unclear')) v(label) LEFT JOIN (SELECT CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS label, count(*) AS n FROM labels GROUP BY 1) USING (label)"
+
+
+@q("label_counts", LABELS_SQL)
 def label_counts(spark, d):
     rows = table(spark, d, "labels").select(F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"))
     return ev.zero_filled(rows, "label", ("good", "bad", "unclear"))
@@ -224,7 +227,7 @@ def quality_gate(spark, d):
     return ev.quality_gate(checks, "task_id", "name", "passed", "critical", 0.8)
 
 
-@q("stratified_alloc", "SELECT label, CAST(CASE label WHEN 'good' THEN 10 ELSE 10 END AS BIGINT) AS n FROM (VALUES ('good'), ('bad')) v(label)")
+@q("stratified_alloc", "WITH c AS (SELECT label, n FROM (" + LABELS_SQL + ") WHERE n > 0), l AS (SELECT max(g) AS level FROM range(21) r(g) WHERE (SELECT sum(least(n, g)) FROM c) <= 20), a AS (SELECT label, n, level, row_number() OVER (PARTITION BY n > level ORDER BY CASE label WHEN 'good' THEN 0 WHEN 'bad' THEN 1 ELSE 2 END) AS place, (SELECT sum(least(n, level)) FROM c) AS filled FROM c, l) SELECT label, CAST(least(n, level) + CASE WHEN n > level AND place <= 20 - filled THEN 1 ELSE 0 END AS BIGINT) AS n FROM a")
 def stratified_alloc(spark, d):
     counts = {r["label"]: r["n"] for r in label_counts(spark, d).collect()}  # three rows
     return spark.createDataFrame(list(ev.allocations(counts, 20, ("good", "bad", "unclear")).items()), "label string, n long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text, times
 from ..operators import index
+from ..operators.containment import holding
 from ..operators.snippets import snippets
 from .entities import SQL, Registry, chunks, evidence, questions, table, with_
 
@@ -62,11 +63,15 @@ def snippet(spark, d):
     return snippets(chunks(spark, d), matched)
 
 
+def planted_passages(spark, d):
+    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
+    return holding(docs.select(F.col("doc_id").alias("text_id"), "text"), bench.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")))
+
+
 @q("retrieval_recall", BM25 + ", top AS (SELECT query_id, evidence_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) AS r FROM ranked WHERE rank = 1), planted AS (SELECT item_id AS query_id, doc_id AS evidence_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)) SELECT p.query_id, p.evidence_id, t.r IS NOT NULL AS found FROM planted p LEFT JOIN top t ON t.query_id = p.query_id AND t.evidence_id = p.evidence_id AND t.r <= 10")
 def retrieval_recall(spark, d):
-    """Expected ids (documents that hold the passage) against those found. The benchmark side is a small, broadcast table."""
-    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
-    planted = docs.select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("body")).join(bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")), F.expr("contains(body, passage)"))
+    """Expected ids (documents that hold the passage) against those found."""
+    planted = planted_passages(spark, d).select(F.col("quote_id").alias("query_id"), F.col("text_id").alias("evidence_id"))
     found = index.top_items(scored(spark, d), 10).select("query_id", "evidence_id", F.lit(True).alias("hit"))
     return planted.select("query_id", "evidence_id").join(found, ["query_id", "evidence_id"], "left").select("query_id", "evidence_id", F.col("hit").isNotNull().alias("found"))
 
@@ -79,7 +84,7 @@ def query_terms(spark, d):
 @q("stem_terms")
 def stem_terms(spark, d):
     """Stems of distinct terms, with how often each stem occurs; Porter's steps have no SQL twin."""
-    words = table(spark, d, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("term"))
+    words = table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("term"))
     distinct = words.groupBy("term").agg(F.count("*").alias("n"))
     return distinct.withColumn("stem", text.stem(text.without_accents(F.col("term")))).groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("terms"))
 
@@ -104,9 +109,9 @@ def running_offsets(spark, d):
 SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?]+[\"'')\]]*)(\s|$)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 
 
-@q("sentence_spans", "SELECT item_id, unnest(range(len(s))) AS sentence, unnest(s) AS text FROM (SELECT item_id, " + SENTENCES + " AS s FROM benchmark)")
+@q("sentence_spans", "SELECT doc_id, unnest(range(len(s))) AS sentence, unnest(s) AS text FROM (SELECT doc_id, " + SENTENCES + " AS s FROM documents)")
 def sentence_spans(spark, d):
-    found = table(spark, d, "benchmark").select("item_id", F.posexplode(text.sentences(F.col("text"))).alias("sentence", "text"))
+    found = table(spark, d, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sentence", "text"))
     return found.withColumn("sentence", F.col("sentence").cast("long"))
 
 
@@ -136,16 +141,16 @@ def deoverlap(spark, d):
 
 @q("quote_grounding", r"SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON trim(b.text) <> '' AND contains(lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\s+', ' ', 'g'))))")
 def quote_grounding(spark, d):
-    """Every quote against every text: quotes are a small, broadcast table, texts are read once."""
-    bench = table(spark, d, "benchmark").select("item_id", F.lower(text.normalize_ws(F.col("text"))).alias("quote")).where("quote <> ''")
-    docs = table(spark, d, "documents").select("doc_id", F.lower(text.normalize_ws(F.col("text"))).alias("body"))
-    return docs.join(bench, F.expr("contains(body, quote)")).select("item_id", "doc_id")
+    """Quotes and texts meet on the hash of some of the quote's words, and only those that meet are compared."""
+    plain = lambda c: text.casefold(text.normalize_ws(F.col(c)))
+    bench = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), plain("text").alias("quote"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), plain("text").alias("text"))
+    return holding(docs, bench).select(F.col("quote_id").alias("item_id"), F.col("text_id").alias("doc_id"))
 
 
 @q("passage_context", r"WITH n AS (SELECT b.item_id, d.doc_id, trim(regexp_replace(d.text, '\s+', ' ', 'g')) AS s, trim(regexp_replace(b.text, '\s+', ' ', 'g')) AS p FROM benchmark b JOIN documents d ON contains(d.text, b.text)), a AS (SELECT *, instr(lower(s), lower(p)) AS pos FROM n), e AS (SELECT *, greatest(1, pos - 40) AS st, least(length(s), pos + length(p) + 39) AS en FROM a WHERE pos > 0) SELECT item_id, doc_id, CASE WHEN st > 1 THEN '…' ELSE '' END || trim(substr(s, st, pos - st)) AS context_before, substr(s, pos, length(p)) AS passage, trim(substr(s, pos + length(p), en - (pos + length(p)) + 1)) || CASE WHEN en < length(s) THEN '…' ELSE '' END AS context_after FROM e")
 def passage_context(spark, d):
-    bench = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    hits = table(spark, d, "documents").select("doc_id", "text").join(bench, F.expr("contains(text, quote)"))
+    hits = planted_passages(spark, d).select(F.col("quote_id").alias("item_id"), F.col("text_id").alias("doc_id"), "text", "quote")
     return hits.select("item_id", "doc_id", text.passage_context(F.col("text"), F.col("quote"), 40).alias("c")).where("c is not null").select("item_id", "doc_id", "c.*")
 
 
@@ -160,12 +165,21 @@ def substantive_filter(spark, d):
     return table(spark, d, "documents").where(text.is_substantive(F.col("text"))).select("doc_id")
 
 
-@q("scope_violations")
+CLAIMS = ("The corpus proves it.", "It does not show that every source agrees.", "Industry consensus exists.", "Plain words.")
+
+
+def _scope_sql(pattern: str) -> str:
+    at = "string_split(regexp_replace(answer, '(" + pattern.replace("'", "''") + ")', chr(1) || '\\1', 'gi'), chr(1))"
+    negated = "regexp_matches(right(array_to_string(" + at + "[1:j], ''), 80), '(?i)" + text.SCOPE_NEGATION.replace("'", "''") + "')"
+    return f"CASE WHEN len(list_filter(range(1, len({at})), lambda j: NOT {negated})) > 0 THEN 1 ELSE 0 END"
+
+
+@q("scope_violations", "SELECT doc_id, CAST(" + " + ".join(map(_scope_sql, text.SCOPE_PATTERNS)) + " AS BIGINT) AS violations FROM (SELECT doc_id, coalesce(text, '') || ' ' || CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CLAIMS)) + " END AS answer FROM documents)")
 def scope_violations(spark, d):
-    """Claims beyond the evidence in assistant turns, some given one; negation needs match offsets, so rows only."""
-    claims = F.array(F.lit("The corpus proves it."), F.lit("It does not show that every source agrees."), F.lit("Industry consensus exists."), F.lit("Plain words."))
-    turns = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.concat("text", F.lit(" "), F.element_at(claims, (F.col("conv_id") % 4 + 1).cast("int"))).alias("answer"))
-    return turns.select("conv_id", "turn", F.size(text.scope_violations("answer")).cast("long").alias("violations"))
+    """Claims beyond the evidence in documents, each given one claim at its end."""
+    claims = F.element_at(F.array(*map(F.lit, CLAIMS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    answers = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), claims).alias("answer"))
+    return answers.select("doc_id", F.size(text.scope_violations(F.col("answer"))).cast("long").alias("violations"))
 
 
 @q("constraint_claims", r"SELECT conv_id, turn, regexp_matches(text || CASE conv_id % 3 WHEN 0 THEN ' This must not be said.' ELSE '' END, '(?i)\bmust not\b|\bmust avoid\b|\bshould not\b|^the answer must\b') AS constraint_shaped FROM conversations")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STAMP = r"\d{2}:\d{2}:\d{2}[,.]\d{3}"
-#: An optional index line, a time range, the body up to a blank line or the end.
-CUE = rf"(?ms)^(?:[ \t]*\d+[ \t]*\n)?[ \t]*({STAMP})[ \t]+-->[ \t]+({STAMP})[^\n]*\n(.*?)(?=\n[ \t]*\n|\z)"
+#: A line that says when a cue is shown; blank lines part the blocks of a file.
+RANGE, BLANK = rf"^[ \t]*({STAMP})[ \t]+-->[ \t]+({STAMP})", r"\r?\n[ \t]*(?:\r?\n[ \t]*)+"
 TEXT_SUFFIXES = ("srt", "vtt", "ttml", "ass", "txt", "md", "csv")
 
 
@@ -24,14 +24,21 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def cues(items: DataFrame) -> DataFrame:
     """evidence_id, chunk_index, locator, text of items (evidence_id, text): one row for each cue with text; an item
-    without any cue is one chunk without a locator."""
-    group = lambda i: F.regexp_extract_all("text", F.lit(CUE), F.lit(i))
-    found = F.arrays_zip(group(1).alias("a"), group(2).alias("b"), group(3).alias("body"))
-    dot = lambda s: F.translate(s, ",", ".")
-    spoken = F.transform(found, lambda c: F.struct(F.concat(dot(c["a"]), F.lit("–"), dot(c["b"])).alias("locator"), strip(F.regexp_replace(c["body"], r"(?U)\s*\n\s*", " ")).alias("text")))
-    kept = F.filter(spoken, lambda c: c["text"] != "")
+    without any cue is one chunk without a locator. Files are read line by line: a block's first line with a time range
+    is its cue's, the lines after it are what is said, and those before it, such as a number, are passed over."""
+    blocks = F.transform(F.split("text", BLANK), lambda b: F.split(b, r"\r?\n"))
+    timed = lambda lines: F.array_position(F.transform(lines, lambda x: x.rlike(RANGE)), True).cast("int")
+    shown = F.filter(blocks, lambda lines: timed(lines) > 0)
+
+    def cue(lines):
+        when, said = F.get(lines, timed(lines) - 1), F.slice(lines, timed(lines) + 1, F.size(lines))
+        stamps = [F.translate(F.regexp_extract(when, RANGE, i), ",", ".") for i in (1, 2)]
+        words = F.filter(F.transform(said, strip), lambda x: x != "")
+        return F.struct(F.concat(stamps[0], F.lit("–"), stamps[1]).alias("locator"), F.array_join(words, " ").alias("text"))
+
+    spoken = F.filter(F.transform(shown, cue), lambda c: c["text"] != "")
     whole = F.array(F.struct(F.lit(None).cast("string").alias("locator"), F.col("text").alias("text")))
-    return items.select("evidence_id", F.posexplode(F.when(F.size(found) > 0, kept).otherwise(whole)).alias("chunk_index", "c")).select("evidence_id", F.col("chunk_index").cast("long").alias("chunk_index"), "c.locator", "c.text")
+    return items.select("evidence_id", F.posexplode(F.when(F.size(shown) > 0, spoken).otherwise(whole)).alias("chunk_index", "c")).select("evidence_id", F.col("chunk_index").cast("long").alias("chunk_index"), "c.locator", "c.text")
 
 
 def is_valid(text: Column, timed: Column) -> Column:

@@ -1,13 +1,14 @@
 """The reference's operators on small, hand-made corpora."""
 
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakebrook.functions import ids, text, times
-from lakebrook.operators import evaluation, index, loops, state, window
-from lakebrook.operators.snippets import excerpt
+from lakebrook.operators import containment, evaluation, index, loops, state, window
+from lakebrook.operators.snippets import snippets
 from lakebrook.operators.store import IndexStore
 from lakebrook.sources import adapters, manifest, posts, transcripts
 from lakebrook.streaming import runlog
@@ -29,16 +30,30 @@ def test_query_terms_lose_stop_words_and_keep_repeats(spark):
 
 
 def test_captions_lose_their_overlap():
-    assert text.deoverlap_list(["so this is", "this is the way", "this is the way", "", None, "way we go"]) == "so this is the way we go"
-    assert text.deoverlap_list([]) == ""
+    assert text.rolled(["so this is", "this is the way", "this is the way", "", None, "way we go"]) == "so this is the way we go"
+    assert text.rolled([]) == "" and text.rolled(["a b", "a b"]) == "a b"
 
 
-def test_excerpts_keep_sentences_and_gaps():
-    pieces = [(0, "It does"), (1, "not work. Nobody"), (2, "knows why."), (3, "Far off."), (4, "A last one.")]
-    assert excerpt(pieces, {0}) == "It does not work."
-    assert excerpt(pieces, {2}) == "It does not work. Nobody knows why."
-    assert excerpt([*pieces, (5, "More."), (6, "End.")], {0, 6}) == "It does not work. […] More. End."
-    assert excerpt(pieces, set()) == "" and len(excerpt([(0, "x" * 9000)], {0})) <= 2400
+def test_rolled_captions_equal_the_definition():
+    rng = random.Random(4)
+    for _ in range(300):
+        captions = [" ".join(rng.choice(("a", "b", "aa", "ab")) for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(0, 8))]
+        said = ""
+        for c in captions:
+            new = c[max(k for k in range(len(c) + 1) if said.endswith(c[:k])) :].strip()
+            said = f"{said} {new}".strip()
+        assert text.rolled(captions) == said
+
+
+def test_excerpts_keep_sentences_and_gaps(spark):
+    pieces = [(0, "It does"), (1, " not work."), (2, "Nobody knows why."), (3, " "), (4, "Really!"), (5, "More."), (6, "End.")]
+    chunks = spark.createDataFrame([("i", n, t) for n, t in pieces] + [("j", 0, "x" * 9000), ("k", 0, "no hit")], "evidence_id string, chunk_index long, text string")
+    hits = {1: (0,), 2: (2,), 3: (0, 6), 4: (2, 6)}
+    matched = spark.createDataFrame([(q, "i", n) for q, ns in hits.items() for n in ns] + [(5, "j", 0)], "query_id long, evidence_id string, chunk_index long")
+    got = {r.query_id: r.snippet for r in snippets(chunks, matched).collect()}
+    assert got[1] == "It does not work." and got[2] == "It does not work. Nobody knows why."
+    assert got[3] == "It does not work. […] More. End." and got[4] == "It does not work. Nobody knows why. […] More. End."
+    assert len(got) == 5 and len(got[5]) == 2400 and " […] " in got[5]
 
 
 def test_cues(spark):
@@ -97,7 +112,27 @@ def test_registry_rules(spark):
     assert overlap.count() == 0
 
 
+def test_holding_equals_comparing_every_pair(spark):
+    rng = random.Random(2)
+    word = lambda: rng.choice(("a", "ab", "b", "ba", "c", "straße"))
+    texts = [(i, " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(99, None)]
+    quotes = [(i, " ".join(word() for _ in range(rng.randint(0, 7)))) for i in range(60)] + [(70, texts[3][1]), (71, "b a"), (72, None)]
+    quotes += [(80 + i, t[1:-1]) for i, (_, t) in enumerate(texts[:10])]
+    t, q = spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame(quotes, "quote_id long, quote string")
+    got = sorted((r.text_id, r.quote_id) for r in containment.holding(t, q).collect())
+    assert got == sorted((i, k) for i, x in texts for k, y in quotes if x is not None and y and y in x)
+    long = containment.holding(t, q.where("quote_id = 70"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in long and "Cartesian" not in long
+    assert one(spark, text.grounded(F.col("q"), F.col("t")), q="STRASSE  zum", t="die Straße zum See")
+
+
 def test_allocations():
+    for counts, size in (({"H": 3, "M": 3, "L": 3}, 7), ({"H": 1, "M": 9, "L": 2}, 9), ({"M": 5}, 5), ({"H": 4, "M": 4, "L": 1}, 8)):
+        want = {x: 0 for x in ("H", "M", "L") if counts.get(x)}
+        for _ in range(size):
+            x = min((x for x in want if want[x] < counts[x]), key=lambda x: (want[x], "HML".index(x)))
+            want[x] += 1
+        assert evaluation.allocations(counts, size, ("H", "M", "L")) == want
     assert evaluation.allocations({"H": 10, "M": 1, "L": 9}, 10, ("H", "M", "L", "N")) == {"H": 5, "M": 1, "L": 4}
     with pytest.raises(ValueError):
         evaluation.allocations({"H": 1, "M": 1}, 1, ("H", "M"))
@@ -106,7 +141,7 @@ def test_allocations():
 def test_scope_lint_and_json(spark):
     answers = ["The corpus proves it.", "It does not show that the field agrees.", "Industry consensus. No sources disagree.", None]
     df = spark.createDataFrame([(a,) for a in answers], "a string")
-    assert [len(r[0]) for r in df.select(text.scope_violations("a")).collect()] == [1, 0, 2, 0]
+    assert [len(r[0]) for r in df.select(text.scope_violations(F.col("a"))).collect()] == [1, 0, 2, 0]
     for raw, want in (('{"a": 1}', '{"a": 1}'), ('x ```json\n{"a": 2}\n``` y', '{"a": 2}'), ('so {"a": 3} then', '{"a": 3}'), ("nothing", None), ("[1]", None)):
         assert one(spark, text.extract_json_object(F.col("r")), r=raw) == want
 
