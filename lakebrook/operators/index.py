@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import query_terms, tokens
+from ..functions.text import query_terms, stem, tokens, without_accents
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -35,15 +35,26 @@ def terms_of(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("query")))).alias("term"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def stems_of(terms: DataFrame) -> DataFrame:
+    """term, stem of the distinct terms: without accents, by Porter's steps. An Arrow function, on each term once."""
+    return terms.select("term").distinct().withColumn("stem", stem(without_accents(F.col("term"))))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, stemmed: bool = True) -> DataFrame:
     """query_id, evidence_id, chunk_index, score (rounded to 6 places) of every matching chunk.
 
     Chunks are exploded only into the terms that some query has: the set of these terms is small and filters before the
-    shuffle; where it isn't, Catalyst joins it like any other table.
+    shuffle; where it isn't, Catalyst joins it like any other table. Stemmed, terms match where their stems are equal:
+    the corpus's vocabulary is stemmed once, and its terms of wanted stems stand for these from there on.
     """
     wanted = terms_of(queries)
     words = chunks.select("evidence_id", "chunk_index", tokens(F.col("text")).alias("words")).select("evidence_id", "chunk_index", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
-    used = words.join(wanted.select("term").distinct(), "term", "left_semi")
+    if stemmed:
+        wanted = wanted.join(stems_of(wanted), "term").select("query_id", F.col("stem").alias("term")).distinct()
+        known = stems_of(words).join(wanted.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi")
+        used = words.join(known, "term").withColumn("term", F.col("stem"))
+    else:
+        used = words.join(wanted.select("term").distinct(), "term", "left_semi")
     found = used.groupBy("term", "evidence_id", "chunk_index", "dl").agg(F.count("*").alias("tf"))
     total = chunks.select(F.size(tokens(F.col("text"))).cast("long").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))

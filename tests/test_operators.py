@@ -1,6 +1,8 @@
 """The reference's operators on small, hand-made corpora."""
 
+import math
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -24,6 +26,27 @@ def test_stems():
     assert [text.porter(w) for w in ("sky", "agreed", "plastered", "motoring", "sized", "controll", "feed")] == ["sky", "agre", "plaster", "motor", "size", "control", "feed"]
 
 
+def test_stemmed_search_equals_brute_force(spark):
+    texts = ["An evaluation of reliable tools", "evaluating the tool, évaluation", "nothing of the kind", "Reliability is evaluated", "tools"]
+    chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "evidence_id long, chunk_index long, text string")
+    asked = {1: "evaluate reliability", 2: "the tool", 3: "what is the", 4: "evaluating evaluation"}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, query string")
+    got = {(r.query_id, r.evidence_id): r.score for r in index.bm25(chunks, queries).collect()}
+    plain = lambda w: text.porter(w.translate(str.maketrans(*text.ACCENTS)))
+    docs = [[plain(w) for w in re.findall(r"\w+", t.lower())] for t in texts]
+    mean = sum(map(len, docs)) / len(docs)
+    want = {}
+    for q, a in asked.items():
+        for term in {plain(w) for w in a.split() if w not in text.STOP_WORDS}:
+            df = sum(term in x for x in docs)
+            for i, x in enumerate(docs):
+                if tf := x.count(term):
+                    idf = max(math.log((len(docs) - df + 0.5) / (df + 0.5)), 1e-6)
+                    want[q, i] = want.get((q, i), 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    assert {i for q, i in got if q == 1} == {0, 1, 3} and not index.bm25(chunks, queries, stemmed=False).where("query_id = 4 and evidence_id = 3").count()
+
+
 def test_query_terms_lose_stop_words_and_keep_repeats(spark):
     assert one(spark, text.query_terms(F.col("q")), q="What is the Überprüfung of the_index the index? index") == ["überprüfung", "the_index", "index", "index"]
     assert one(spark, text.query_terms(F.col("q")), q="what is the") == []
