@@ -22,7 +22,8 @@ def labelled_features(documents: DataFrame, labels: DataFrame, most: int) -> tup
     """Features and quality labels of at most `most` labelled rows that aren't held out, the first by a hash of their id.
 
     The sample's size is bounded by `most`, so that its ids are broadcast and its features collected; the texts are scored
-    where they lie. Rows without a 0/1 quality, an id or a text are left out.
+    where they lie. Rows without a 0/1 quality, an id or a text are left out; of rows that repeat an id, the one with the
+    least features counts, so that the bound holds.
     """
     sample = (
         labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", "quality")
@@ -33,9 +34,10 @@ def labelled_features(documents: DataFrame, labels: DataFrame, most: int) -> tup
     def measure(batches):
         for b in batches:
             _, f = statistics(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("quality").cast(pa.int32()), pa.array(list(f), pa.list_(pa.float64()))], ["quality", "f"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("quality").cast(pa.int32()), pa.array(list(f), pa.list_(pa.float64()))], ["doc_id", "quality", "f"])
 
-    found = rows.select("doc_id", "quality", "text").mapInArrow(returning(measure), "quality int, f array<double>").toPandas()
+    measured = rows.select("doc_id", "quality", "text").mapInArrow(returning(measure), "doc_id long, quality int, f array<double>")
+    found = measured.groupBy("doc_id", "quality").agg(F.min("f").alias("f")).toPandas()
     if not len(found):
         return np.zeros((0, len(FEATURES))), np.zeros(0, np.int64)
     x, y = np.stack(found["f"].to_numpy()), found["quality"].to_numpy()

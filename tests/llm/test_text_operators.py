@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from lakebrook.llm import byte_bpe, line_dedup, packing, quality_classifier, quality_rules
 from lakebrook.llm.text_statistics import statistics
+from lakebrook.llm.training import labelled_features
 
 ODD = [None, "", " ", "\n\n", "a", "é b", "x\r\nx\r\n", "ab " * 10, "漢字 😀\tx\x0bz", "1 2 3 4 5 6 7 8 " * 3, "w" * 50_000, "so it goes on " * 20_000]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key int"
@@ -63,6 +64,32 @@ def test_rules_and_classifier_on_odd_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in scores.items() if r.predicted}
 
 
+def test_fit_and_scores_equal_plain_sums_and_paths(spark):
+    """The classifier's score is a sum of looked-up values, the forests' verdict a mean of path lengths; ids that repeat
+    give one row of the sample."""
+    texts = [f"the river of {i} and its towns lie along a wide valley with old farms and mills near {i} bridges and roads to the sea." for i in range(40)]
+    texts += ["BUY NOW!!! $$$ " * 20 + str(i) for i in range(40)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 40), 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    x, y = labelled_features(docs.unionByName(docs), labels, 1000)
+    assert len(x) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(80))
+    model = quality_classifier.fit(x, y)
+    for row, score in zip(x, model.score(x)):
+        z = model.base + sum(t[sum(c <= v for c in cuts)] for v, cuts, t in zip(row, model.cuts, model.tables))
+        z += sum(t[sum(c <= row[i] for c in ci), sum(c <= row[j] for c in cj)] for i, j, ci, cj, t in model.pairs)
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+    for forest in quality_rules.fit(x, y):
+        values = quality_rules.drawn(x, forest.columns, forest.middle)
+        for row, score in zip(values, forest.scores(x)):
+            total = 0.0
+            for feature, split, path in zip(forest.feature, forest.split, forest.path):
+                at = 0
+                while feature[at] >= 0:
+                    at = 2 * at + 1 + int(row[feature[at]] >= split[at])
+                total += path[at]
+            assert abs(score - 2.0 ** (-total / (len(forest.path) * forest.normal))) < 1e-9
+
+
 def test_models_without_labels_or_rows(spark):
     docs, none = documents(spark, ["a b c"]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.judge(docs, quality_rules.fitted(docs, none)).count() == 1
