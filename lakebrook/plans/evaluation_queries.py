@@ -117,17 +117,9 @@ def audit_report(spark, d):
     return a.agg(F.count("*").alias("cards"), F.count_if(scope).alias("in_scope"), ev.rate(F.count_if(scope & (F.col("quality") == F.col("model"))), F.count_if(scope)).alias("match_rate"), ev.rate(F.count_if(F.col("quality") == 1), F.count("*")).alias("accepted_rate"))
 
 
-@q("completeness_check", "SELECT coalesce(l.doc_id, e.event_id) AS id, CASE WHEN e.event_id IS NULL THEN 'unexpected' ELSE 'missing' END AS problem FROM (SELECT doc_id FROM labels) l FULL JOIN (SELECT event_id FROM events WHERE event_id < 500) e ON e.event_id = l.doc_id WHERE l.doc_id IS NULL OR e.event_id IS NULL")
+@q("completeness_check", "SELECT coalesce(l.doc_id, d.doc_id) AS id, CASE WHEN d.doc_id IS NULL THEN 'unexpected' ELSE 'missing' END AS problem FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR d.doc_id IS NULL")
 def completeness_check(spark, d):
-    packet = table(spark, d, "events").where("event_id < 500").select(F.col("event_id").alias("p"))
-    review = table(spark, d, "labels").select(F.col("doc_id").alias("r"))
-    both = packet.join(review, F.col("p") == F.col("r"), "full_outer").where("p is null or r is null")
-    return both.select(F.coalesce("r", "p").alias("id"), F.when(F.col("p").isNull(), "unexpected").otherwise("missing").alias("problem"))
-
-
-@q("completeness_documents", "SELECT coalesce(l.doc_id, d.doc_id) AS id, CASE WHEN d.doc_id IS NULL THEN 'unexpected' ELSE 'missing' END AS problem FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR d.doc_id IS NULL")
-def completeness_documents(spark, d):
-    """All documents against all labels; completeness_check looks at a prefix of events only."""
+    """All documents against all labels."""
     packet = table(spark, d, "documents").select(F.col("doc_id").alias("p"))
     review = table(spark, d, "labels").select(F.col("doc_id").alias("r"))
     both = packet.join(review, F.col("p") == F.col("r"), "full_outer").where("p is null or r is null")

@@ -259,5 +259,5 @@ def test_completeness_has_no_bound_of_ids(spark, tmp_path):
 
     spark.createDataFrame([(1,), (499,), (500,), (9000,)], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1,), (500,), (9001,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
-    got = {tuple(r) for r in QUERIES["completeness_documents"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in QUERIES["completeness_check"](spark, str(tmp_path)).collect()}
     assert got == {(499, "missing"), (9000, "missing"), (9001, "unexpected")}
