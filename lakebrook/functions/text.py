@@ -253,8 +253,9 @@ def porter(word: str) -> str:
 
 @F.pandas_udf(StringType())
 def stem(terms: pd.Series) -> pd.Series:
-    """Porter stems; meant for distinct terms, joined back."""
-    return terms.map(porter)
+    """Porter stems, each different term of a batch once."""
+    codes, known = pd.factorize(terms)
+    return pd.Series([*map(porter, known), None], dtype=object).take(codes).reset_index(drop=True)
 
 
 # NFKD would decompose more than accents; these are the letters of the corpus's languages.

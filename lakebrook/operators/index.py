@@ -21,13 +21,11 @@ def chunks_by_line(items: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, evidence_id, chunk_index, tf."""
-    words = chunks.select("evidence_id", "chunk_index", F.explode(tokens(F.col("text"))).alias("term"))
-    return words.groupBy("term", "evidence_id", "chunk_index").agg(F.count("*").alias("tf"))
-
-
-def lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("evidence_id", "chunk_index", F.size(tokens(F.col("text"))).cast("long").alias("dl"))
+    """term, evidence_id, chunk_index, dl, tf: stems of the chunks' words. Words are counted within their chunk before they
+    are stemmed, so that no term, however frequent, is gathered in one task."""
+    words = chunks.select("evidence_id", "chunk_index", tokens(F.col("text")).alias("words")).select("evidence_id", "chunk_index", F.size("words").cast("long").alias("dl"), F.explode("words").alias("word"))
+    stems = words.groupBy("evidence_id", "chunk_index", "dl", "word").agg(F.count("*").alias("tf")).withColumn("term", stem(without_accents(F.col("word"))))
+    return stems.groupBy("term", "evidence_id", "chunk_index", "dl").agg(F.sum("tf").alias("tf"))
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -57,6 +55,12 @@ def bm25(chunks: DataFrame, queries: DataFrame, stemmed: bool = True) -> DataFra
         used = words.join(wanted.select("term").distinct(), "term", "left_semi")
     found = used.groupBy("term", "evidence_id", "chunk_index", "dl").agg(F.count("*").alias("tf"))
     total = chunks.select(F.size(tokens(F.col("text"))).cast("long").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return score(found, wanted, total)
+
+
+def score(found: DataFrame, wanted: DataFrame, total: DataFrame) -> DataFrame:
+    """BM25 of found (term, evidence_id, chunk_index, dl, tf), all postings of the terms in wanted (query_id, term), in a
+    corpus of total (n, avgdl: one row)."""
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weighted = df.crossJoin(total).select("term", idf.alias("idf"), "avgdl")  # total is one row

@@ -1,7 +1,8 @@
-"""The index on storage: immutable versions of Parquet tables under one folder, and a pointer to the current one.
+"""The index on storage: chunks and postings in segments, one for each refresh, and a small table of items for each version.
 
-A refresh rewrites chunks and postings of changed items only; those of reused items are copied by a semi-join. Readers
-see a version whole or not at all.
+A refresh writes the chunks and postings of changed items only; those of the others stay where they are. The items of a
+version say which segment holds their rows, so that rows of changed and deleted items, and of a refresh that failed, are
+passed over; compact() writes what is alive into one segment. Readers see a version whole or not at all.
 """
 
 from __future__ import annotations
@@ -11,9 +12,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .index import chunks_by_line, postings, refresh_diff
+from ..functions.text import tokens
+from .index import chunks_by_line, postings, refresh_diff, score, stems_of, terms_of
 
-INDEX_VERSION = 1
+INDEX_VERSION = 2
+#: Up to so many different terms of a batch of questions are handed to the Parquet scan; more are joined.
+PUSHED_TERMS = 1000
+ITEMS = "evidence_id, content_hash, index_version, segment, n_chunks, n_words"
+
+
+class NewerIndex(Exception):
+    """The folder was written by a later version of this engine."""
 
 
 class IndexStore:
@@ -25,30 +34,73 @@ class IndexStore:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
         if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
             return None
-        return self.spark.read.parquet(f"{self.path}/versions").agg(F.max_by("version", "at").alias("v")).first()["v"]
+        last = self.spark.read.parquet(f"{self.path}/versions").agg(F.max_by(F.struct("version", "schema"), "at").alias("v")).first()["v"]
+        if last["schema"] > INDEX_VERSION:
+            raise NewerIndex(f"{self.path} has schema {last['schema']}, this engine reads {INDEX_VERSION}")
+        return last["version"]
+
+    def _items(self, version: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/items/{version}")
+
+    def _alive(self, rows: DataFrame, version: str) -> DataFrame:
+        return rows.join(self._items(version).select("evidence_id", "segment"), ["evidence_id", "segment"], "left_semi").drop("segment")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.current()}/{name}")
+        """items, chunks (evidence_id, chunk_index, text, dl) or postings (term, evidence_id, chunk_index, dl, tf)."""
+        version = self.current()
+        if version is None:
+            raise FileNotFoundError(f"no index at {self.path}")
+        return self._items(version) if name == "items" else self._alive(self.spark.read.parquet(f"{self.path}/{name}"), version)
+
+    def _write_segment(self, chunks: DataFrame, segment: str) -> DataFrame:
+        """Writes a segment's chunks and postings; its items' n_chunks and n_words. Postings lie in order of their terms, a
+        frequent term in several files, so that a search reads the row groups of its own terms."""
+        chunks.withColumn("dl", F.size(tokens(F.col("text"))).cast("long")).write.parquet(f"{self.path}/chunks/segment={segment}")
+        written = self.spark.read.parquet(f"{self.path}/chunks/segment={segment}")
+        order = ["term", "evidence_id"]
+        postings(written).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{self.path}/postings/segment={segment}")
+        return written.groupBy("evidence_id").agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("n_words"))
+
+    def _publish(self, version: str) -> None:
+        row = self.spark.createDataFrame([(version, INDEX_VERSION)], "version string, schema int").withColumn("at", F.current_timestamp())
+        row.write.mode("append").parquet(f"{self.path}/versions")
 
     def refresh(self, items: DataFrame) -> dict[str, int]:
-        """items (evidence_id, text). Counts of inserted, updated, reused and deleted items."""
-        before = self.current()
+        """items (evidence_id, text), ids being unique. Counts of inserted, updated, reused and deleted items."""
+        before, version = self.current(), f"s{uuid.uuid4().hex}"
         new = items.select("evidence_id", "text", F.sha2("text", 256).alias("content_hash"), F.lit(INDEX_VERSION).alias("index_version"))
         if before is None:
-            old = new.limit(0).select("evidence_id", "content_hash", "index_version", F.lit(True).alias("has_chunks"))
+            old = new.limit(0).select("evidence_id", "content_hash", "index_version", F.lit("").alias("segment"), F.lit(0).cast("long").alias("n_chunks"), F.lit(0).cast("long").alias("n_words"))
         else:
-            kept = self.table("chunks").select("evidence_id").distinct().withColumn("has", F.lit(True))
-            old = self.table("items").join(kept, "evidence_id", "left").select("evidence_id", "content_hash", "index_version", F.coalesce("has", F.lit(False)).alias("has_chunks"))
-        version = uuid.uuid4().hex
-        root = f"{self.path}/{version}"
-        refresh_diff(old, new).write.parquet(f"{root}/actions")
-        actions = self.spark.read.parquet(f"{root}/actions")
-        new.drop("text").write.parquet(f"{root}/items")
-        changed = chunks_by_line(new.join(actions.where("action in ('inserted', 'updated')"), "evidence_id", "left_semi"))
-        reused = actions.where("action = 'reused'")
-        for name, fresh in (("chunks", changed), ("postings", postings(changed))):
-            both = fresh if before is None else fresh.unionByName(self.spark.read.parquet(f"{self.path}/{before}/{name}").join(reused, "evidence_id", "left_semi"))
-            both.write.parquet(f"{root}/{name}")
-        self.spark.createDataFrame([(version,)], "version string").withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/versions")
+            old = self._items(before)
+        refresh_diff(old.withColumn("has_chunks", F.col("n_chunks") > 0), new).write.parquet(f"{self.path}/actions/{version}")
+        actions = self.spark.read.parquet(f"{self.path}/actions/{version}")
+        fresh = new.join(actions.where("action in ('inserted', 'updated')"), "evidence_id", "left_semi")
+        sizes = self._write_segment(chunks_by_line(fresh), version)
+        sized = fresh.drop("text").join(sizes, "evidence_id", "left").withColumn("segment", F.lit(version)).fillna(0, ["n_chunks", "n_words"])
+        kept = old.join(actions.where("action = 'reused'"), "evidence_id", "left_semi")
+        sized.select(*ITEMS.split(", ")).unionByName(kept.select(*ITEMS.split(", "))).write.parquet(f"{self.path}/items/{version}")
+        self._publish(version)
         counts = {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.count("*").alias("n")).collect()}
         return {k: counts.get(k, 0) for k in ("inserted", "updated", "reused", "deleted")}
+
+    def compact(self) -> None:
+        """One segment of what is alive. Segments of earlier versions stay for their readers."""
+        items, version = self.table("items"), f"s{uuid.uuid4().hex}"
+        self._write_segment(self.table("chunks").drop("dl"), version)
+        items.withColumn("segment", F.lit(version)).write.parquet(f"{self.path}/items/{version}")
+        self._publish(version)
+
+    def search(self, queries: DataFrame) -> DataFrame:
+        """query_id, evidence_id, chunk_index, score of queries (query_id, query), from the stored postings alone: texts
+        are not read, and of the postings, where the questions' terms are few, only the row groups that may hold them."""
+        asked = terms_of(queries)
+        wanted = asked.join(stems_of(asked), "term").select("query_id", F.col("stem").alias("term")).distinct()
+        found = self.table("postings")
+        few = [r["term"] for r in wanted.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+        if len(few) <= PUSHED_TERMS:
+            found = found.where(F.col("term").isin(few))
+        else:
+            found = found.join(wanted.select("term").distinct(), "term", "left_semi")
+        total = self.table("items").agg(F.sum("n_chunks").alias("n"), (F.sum("n_words") / F.sum("n_chunks")).alias("avgdl"))
+        return score(found, wanted, total)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakebrook.functions import ids, text, times
 from lakebrook.operators import containment, evaluation, index, loops, state, window
+from lakebrook.operators import store as store_module
 from lakebrook.operators.snippets import snippets
 from lakebrook.operators.store import IndexStore
 from lakebrook.sources import adapters, manifest, posts, transcripts
@@ -112,6 +113,32 @@ def test_refreshing_twice_reuses_all(spark, tmp_path):
     changed = spark.createDataFrame([(1, "alpha beta\ngamma"), (2, "delta two"), (4, "zeta")], "evidence_id long, text string")
     assert store.refresh(changed) == {"inserted": 1, "updated": 1, "reused": 1, "deleted": 1}
     assert sorted(r.term for r in store.table("postings").collect()) == ["alpha", "beta", "delta", "gamma", "two", "zeta"]
+    store.compact()
+    assert sorted(r.term for r in store.table("postings").collect()) == ["alpha", "beta", "delta", "gamma", "two", "zeta"]
+    assert store.refresh(changed) == {"inserted": 0, "updated": 0, "reused": 3, "deleted": 0}
+
+
+def test_search_of_the_stored_index_equals_search_of_its_texts(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("evidence_id"), "text")
+    asked = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.refresh(docs.withColumn("text", F.concat("text", F.lit(" once"))))
+    store.refresh(docs.where("evidence_id <> 3"))
+    want = index.bm25(index.chunks_by_line(docs.where("evidence_id <> 3")), asked)
+    pushed = store.search(asked)
+    assert sorted(map(tuple, pushed.collect())) == sorted(map(tuple, want.collect())) != []
+    store_module.PUSHED_TERMS, kept = 1, store_module.PUSHED_TERMS
+    try:
+        assert sorted(map(tuple, store.search(asked).collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        store_module.PUSHED_TERMS = kept
+    assert store.search(spark.createDataFrame([(1, "what is the")], "query_id long, query string")).count() == 0
+
+
+def test_a_newer_index_is_refused(spark, tmp_path):
+    spark.createDataFrame([("s1", 99)], "version string, schema int").withColumn("at", F.current_timestamp()).write.parquet(str(tmp_path / "versions"))
+    with pytest.raises(store_module.NewerIndex):
+        IndexStore(spark, str(tmp_path)).current()
 
 
 def test_batches_of_queries_rank_and_count(spark):
