@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +29,12 @@ def problems(manifest: DataFrame) -> DataFrame:
     host = F.coalesce(*[F.when(F.col("platform") == k, F.lit(v)) for k, v in HOSTS.items()])
     on_it = F.col("url").startswith("https://") & (F.regexp_extract("url", r"^https://(?:www\.)?([^/?#]+)", 1) == host)
     return out.unionByName(rows.where(~F.coalesce(on_it, F.lit(False))).select("platform", "handle", F.lit("WRONG_URL").alias("problem")))
+
+
+def of_platform(manifest: DataFrame, platform: str) -> DataFrame:
+    return manifest.where(F.lower("platform") == platform.lower())
+
+
+def unsupported(manifest: DataFrame, supported: Sequence[str]) -> DataFrame:
+    """Sources that a runner of these platforms can't process, those without a platform included."""
+    return manifest.where(~F.coalesce(F.lower("platform").isin(*[p.lower() for p in supported]), F.lit(False)))

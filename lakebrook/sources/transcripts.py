@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,30 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("modified"), strip(F.decode("content", "UTF-8")).alias("text"))
 
 
+def scan_state(spark: SparkSession, state: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, warnings) of state rows (source_key, video_id, canonical_url, title, published_at, status, transcript_path)
+    against the files under path; transcript_path is relative to it. Rows without a transcript_path have nothing to read.
+
+    Files are read by the executors, names first: content is decoded for files that some row names. Warnings are
+    MISSING_TRANSCRIPT where there is no such file, UNREADABLE_TRANSCRIPT where its content couldn't be read, and
+    EMPTY_TRANSCRIPT where nothing but white space is in it.
+    """
+    root = path.rstrip("/")
+    named = state.where("coalesce(transcript_path, '') <> ''")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
+    # Files are matched by what follows the root, whatever scheme or host the listing writes before it.
+    below = F.regexp_replace(F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/"), "^" + re.escape(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/", root)) + "/", "")
+    texts = files.select(below.alias("transcript_path"), F.lit(True).alias("there"), strip(F.decode("content", "UTF-8")).alias("text"))
+    both = named.join(texts, "transcript_path", "left")
+    warning = F.when(F.col("there").isNull(), "MISSING_TRANSCRIPT").when(F.col("text").isNull(), "UNREADABLE_TRANSCRIPT").when(F.col("text") == "", "EMPTY_TRANSCRIPT")
+    judged = both.withColumn("warning", warning)
+    records = judged.where("warning is null").select(
+        F.lit("youtube").alias("platform"), "source_key", F.col("video_id").alias("content_id"), "canonical_url", "published_at", "title",
+        F.col("source_key").alias("author"), F.lit("transcript").alias("kind"), "text", F.lit("transcript").alias("locator"), F.col("transcript_path").alias("artifact_path"),
+    )
+    return records, judged.where("warning is not null").select("source_key", "video_id", "transcript_path", "status", "warning")
+
+
 def cues(items: DataFrame) -> DataFrame:
     """evidence_id, chunk_index, locator, text of items (evidence_id, text): one row for each cue with text; an item
     without any cue is one chunk without a locator. Files are read line by line: a block's first line with a time range
