@@ -27,10 +27,11 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """old with the rows of new put over those of the same key."""
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """old with the rows of new put over those of the same key. Of several rows of new with one key the last by order wins,
+    and of those equal in it the one with the greatest hash, so that the result is the same whenever it is computed."""
     both = old.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
-    return latest(both, keys, [F.col("_v")]).drop("_v")
+    return latest(both, keys, [F.col("_v"), *map(F.col, order), F.xxhash64(*old.columns)]).drop("_v")
 
 
 def identity_conflicts(old: DataFrame, new: DataFrame, keys: Sequence[str], fixed: Sequence[str]) -> DataFrame:
@@ -42,9 +43,13 @@ def identity_conflicts(old: DataFrame, new: DataFrame, keys: Sequence[str], fixe
     return a.join(b, list(keys)).where(differs)
 
 
-def terminal_cursor(content: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The latest published_at among terminal rows of each key: never moves back, ignores others."""
-    return content.groupBy(*keys).agg(F.max(F.when(is_terminal(F.col("status")), F.col("published_at"))).alias("cursor"))
+def terminal_cursor(content: DataFrame, keys: Sequence[str], stored: DataFrame | None = None) -> DataFrame:
+    """The latest published_at among terminal rows of each key, others being ignored. With the stored cursors (keys,
+    cursor) it never moves back: the later of the two holds, and a key that only one side has keeps its own."""
+    seen = content.groupBy(*keys).agg(F.max(F.when(is_terminal(F.col("status")), F.col("published_at"))).alias("cursor"))
+    if stored is None:
+        return seen
+    return seen.unionByName(stored.select(*keys, "cursor")).groupBy(*keys).agg(F.max("cursor").alias("cursor"))
 
 
 def after_cursor(items: DataFrame, cursors: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -155,6 +155,10 @@ def test_registry_rules(spark):
     cursors = state.terminal_cursor(df, ["source_key"])
     assert {r.source_key: r.cursor for r in cursors.collect()} == {"a": "2026-01-02", "b": None}
     assert {r.content_id for r in state.after_cursor(df, cursors, ["source_key"]).collect()} == {2, 3}
+    stored = spark.createDataFrame([("a", "2026-03-01"), ("c", "2026-02-02")], "source_key string, cursor string")
+    assert {r.source_key: r.cursor for r in state.terminal_cursor(df, ["source_key"], stored).collect()} == {"a": "2026-03-01", "b": None, "c": "2026-02-02"}
+    twice = spark.createDataFrame([("b", 3, "FAILED", "2026-06-01"), ("b", 3, "COMPLETED", "2026-07-01"), ("b", 3, "PENDING", "2026-05-01")], df.schema)
+    assert [r.status for r in state.upsert(df, twice, ["source_key", "content_id"], ["published_at"]).where("content_id = 3").collect()] == ["COMPLETED"]
     new = spark.createDataFrame([("a", 1, "COMPLETED", "2026-05-05")], df.schema)
     assert state.identity_conflicts(df, new, ["source_key", "content_id"], ["published_at"]).count() == 1
     assert state.upsert(df, new, ["source_key", "content_id"]).count() == 3
