@@ -75,7 +75,7 @@ CLASSES = {"SUPPORTED": None, "INSUFFICIENT_EVIDENCE": "INSUFFICIENT_EVIDENCE",
 
 
 def gates(answer: dict[str, Any], supplied: set[str]) -> dict[str, tuple[bool, bool]]:
-    """(holds, critical) of each criterion that an answer is judged by."""
+    """(holds, critical) of each criterion that an answer is judged by. Their names are fixed values."""
     cited, said = answer.get("citation_ids") or [], answer.get("classification")
     written = bool(str(answer.get("answer") or "").strip())
     return {
@@ -144,7 +144,7 @@ def agent_task(
     return result
 
 
-# What a reviewer should do next.
+# What a reviewer should do next.
 NEXT_ACTION = {
     "BUDGET_EXHAUSTED": "Raise the budget or narrow the question, then run again.",
     "PROVIDER_REQUEST_FAILED": "Look at the provider's credentials and state, then run again.",
