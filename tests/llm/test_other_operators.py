@@ -224,6 +224,40 @@ def test_chats_with_markers_ties_and_long_texts(spark):
     assert [x for x in re.findall("tie ...", got[2])] == ties
 
 
+def test_chats_of_one_hot_conversation(spark, monkeypatch):
+    """Blocks, blocks of blocks and parts of small sizes, against plain sorting."""
+    monkeypatch.setattr(chat_format, "STEP", 2)
+    monkeypatch.setattr(chat_format, "PART", 7)
+    rng = random.Random(5)
+    rows = [(1, rng.choice([None, *range(-90, 300)]), rng.choice(["user", "assistant", None]), rng.choice(["a", "b", "", None, str(i)])) for i in range(900)]
+    rows += [(2, t, r, x) for _, t, r, x in sorted((r for r in rows if r[1] is not None), key=lambda r: r[1])[:50]]
+    rows += [(None, None, None, "same")] * 100
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat_format.format_chats(df).collect()
+
+    def order(v, key=lambda v: v):
+        return (v is not None, key(v) if v is not None else 0)
+
+    def chat(turns):
+        digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+        turns = sorted(turns, key=lambda r: (order(r[1]), order(r[2]), order(r[3], digest)))
+        return [f"<|im_start|>{r[2] or 'unknown'}\n{r[3] or ''}<|im_end|>\n" for r in turns]
+
+    for conv in (1, 2, None):
+        want = chat([r for r in rows if r[0] == conv])
+        parts = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.part)
+        assert [r.part for r in parts] == list(range(-(-len(want) // 7))) and {(r.n_turns, r.n_copies) for r in parts} == {(len(want), 1)}
+        assert [r.chat for r in parts] == ["".join(want[i : i + 7]) for i in range(0, len(want), 7)]
+
+
+def test_snapshots_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "STEP", 2)
+    turns = [(t, "user", f"t{t}") for t in range(70)]
+    rows = [(c, *t) for c, n in ((1, 70), (2, 33), (3, 64), (4, 70), (5, 1)) for t in turns[:n]] + [(6, t, r, x + "!" * (t == 40)) for t, r, x in turns[:60]]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {(r.conv_id, r.n_turns, r.n_copies, r.part) for r in chat_format.format_chats(df).collect()} == {(1, 70, 2, 0), (6, 60, 1, 0)}
+
+
 def test_urls_without_any_list_and_with_a_long_one(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"http://h{i}.example.net/p") for i in range(300)], "page_id long, url string")
     assert {(r.rule, r.verdict) for r in url_filter.url_verdicts(df, rules=(), listed=()).collect()} == {(None, "allow")}
