@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Labels of an assessment, from most to least significant.
-LABELS = ("HIGH", "MEDIUM", "LOW", "NONE")
+LABELS = ("SIGNIFICANT", "INCREMENTAL", "UNSUPPORTED", "PROMOTIONAL")
 ASSESSMENT = "claimed_change string, problem_addressed string, significance string, reason string, supporting_evidence array<struct<claim_component: string, quote: string>>"
 ASSESSMENT_KEYS = ("claimed_change", "problem_addressed", "reason", "significance", "supporting_evidence")
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SCOPE_NEGATION, SCOPE_PATTERNS, grounded, normalize_ws, passage_context
+from ..functions.text import SCOPE_NEGATION, SCOPE_PATTERNS, normalize_ws, passage_context
 from ..functions.validation import decision_error
 from .controllers import CLASSES, ProviderError, Task, agent_task
 from .evaluation import allocations, rate, stratified_sample
@@ -241,9 +241,9 @@ CLAIM = "claim string, verdict string, evidence_id string, quote string"
 
 def checked_claims(proposals: DataFrame, evidence: DataFrame) -> DataFrame:
     """proposals (CLAIM) with quote_valid and flag: a quote that its evidence (evidence_id, snippet) doesn't hold makes the
-    verdict unclear. Incomplete proposals and those of another verdict are left out by draft_claims before."""
+    verdict unclear; case counts, white space doesn't. Incomplete proposals and those of another verdict are left out by draft_claims before."""
     known = evidence.groupBy("evidence_id").agg(F.max("snippet").alias("snippet"))
-    held = F.coalesce(grounded(F.col("quote"), F.col("snippet")), F.lit(False))
+    held = F.coalesce(F.contains(normalize_ws(F.col("snippet")), normalize_ws(F.col("quote"))), F.lit(False))
     flag = F.when(F.col("unknown"), "unknown_evidence_id").when(~held, "quote_not_found_in_evidence_snippet")
     met = proposals.join(known.withColumn("found", F.lit(True)), "evidence_id", "left").withColumn("unknown", F.col("found").isNull())
     verdict = F.when(held, F.col("verdict")).otherwise("unclear").alias("verdict")

@@ -308,7 +308,7 @@ def _raw(spark, d):
     """Model output in every shape: bare, fenced, in prose, malformed, with a wrong key, an unknown label or a false quote."""
     kind = F.col("doc_id") % 7
     quote = F.when(kind == 5, "Nowhere in it at all").otherwise(F.substring("text", 1, 20))
-    label = F.when(kind == 4, "HUGE").otherwise("high")
+    label = F.when(kind == 4, "HUGE").otherwise("significant")
     body = F.to_json(F.struct(F.lit("c").alias("claimed_change"), F.lit("p").alias("problem_addressed"), label.alias("significance"), F.lit("r").alias("reason"), F.array(F.struct(F.lit("x").alias("claim_component"), quote.alias("quote"))).alias("supporting_evidence")))
     raw = F.when(kind == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("It is "), body, F.lit(" so."))).when(kind == 3, F.lit("no object")).when(kind == 6, F.lit('{"claimed_change": "c"}')).otherwise(body)
     return table(spark, d, "documents").select("doc_id", "text", raw.alias("raw"))

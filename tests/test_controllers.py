@@ -121,7 +121,7 @@ def assess(row):
         raise TimeoutError("late")
     if row["text"].startswith("odd") and row["feedback"] is None:
         return {"raw": "no object", "cost_usd": 0.25}
-    label = "HIGH" if "big" in row["text"] else "LOW"
+    label = "SIGNIFICANT" if "big" in row["text"] else "UNSUPPORTED"
     body = {"claimed_change": "c", "problem_addressed": "p", "significance": label, "reason": "r", "supporting_evidence": [{"claim_component": "x", "quote": row["text"]}]}
     return {"raw": json.dumps(body), "cost_usd": 0.25, "output_tokens": 10, "input_tokens": 5, "latency_seconds": 2.0}
 
@@ -132,12 +132,12 @@ def test_digests_resume_rank_and_report(spark, tmp_path):
     cut = run(Budget(3, 100, 100, 1.0))
     assert cut["outcome"] == "FAILED_BUDGET" and cut["usage_totals"]["calls"] == 3
     whole = run(WIDE)
-    assert whole["outcome"] == "ESCALATED_FOR_REVIEW" and whole["label_counts"] == {"HIGH": 2, "MEDIUM": 0, "LOW": 2, "NONE": 0}
+    assert whole["outcome"] == "ESCALATED_FOR_REVIEW" and whole["label_counts"] == {"SIGNIFICANT": 2, "INCREMENTAL": 0, "UNSUPPORTED": 2, "PROMOTIONAL": 0}
     out = f"{tmp_path}/out/{whole['key']}"
     refused = spark.read.parquet(f"{out}/rejected").collect()
     assert [(r.item_id, r.error_type, r.attempts) for r in refused] == [("3", "TimeoutError", 2)]
     places = {(r.label, r.place): r.evidence_id for r in spark.read.parquet(f"{out}/ranked").collect()}
-    assert places == {("HIGH", 1): "4", ("HIGH", 2): "1", ("LOW", 1): "0", ("LOW", 2): "2"} or places == {("HIGH", 1): "1", ("HIGH", 2): "4", ("LOW", 1): "0", ("LOW", 2): "2"}
+    assert places == {("SIGNIFICANT", 1): "4", ("SIGNIFICANT", 2): "1", ("UNSUPPORTED", 1): "0", ("UNSUPPORTED", 2): "2"} or places == {("SIGNIFICANT", 1): "1", ("SIGNIFICANT", 2): "4", ("UNSUPPORTED", 1): "0", ("UNSUPPORTED", 2): "2"}
     asked = spark.read.parquet(f"{out}/attempts").groupBy("evidence_id").count()
     assert {r.evidence_id: r["count"] for r in asked.collect()} == {"0": 1, "1": 1, "2": 2, "3": 2, "4": 1}
     mended = run(WIDE, lambda row: assess(row | {"text": row["text"].removeprefix("late ")}))

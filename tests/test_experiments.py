@@ -108,7 +108,7 @@ def test_triggers_are_measured_until_refused(spark, tmp_path):
 
 def test_claims_are_drafted_and_checked(spark):
     claims = [
-        {"claim": "c1", "verdict": "PROVEN", "evidence_id": "e1", "quote": "tools are evaluated"}, {"claim": "c2", "verdict": "proven", "evidence_id": "e2", "quote": "tools"},
+        {"claim": "c1", "verdict": "PROVEN", "evidence_id": "e1", "quote": "Tools are Evaluated"}, {"claim": "c2", "verdict": "proven", "evidence_id": "e1", "quote": "tools are"},
         {"claim": "c3", "verdict": "not_proven", "evidence_id": "e9", "quote": "b"},
     ]
     trace = {"question": "q", "attempts": [{"answer": SAID}, {"answer": None}], "evidence": EVIDENCE}
