@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, html_extract, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, top_k, url_filter
+from . import byte_bpe, chat_format, html_extract, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, suffix_dedup, top_k, turn_repair, url_filter, whitening
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_top_k": top_k.query,
     "op9_chat_format": chat_format.query,
     "op10_url_filter": url_filter.query,
+    "op11_whitening": whitening.query,
+    "op12_suffix_dedup": suffix_dedup.query,
+    "op13_turn_repair": turn_repair.query,
 }
 
 ORACLES = {
