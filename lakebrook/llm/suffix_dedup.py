@@ -41,8 +41,9 @@ from .kernel import U, _power, mix, slices
 
 SPAN, GRAM = 200, 64
 BEFORE = SPAN - GRAM
-#: Different contexts of one gram that one task sorts; windows of a text that are hashed at once; rows sorted at once.
-WIDE, PIECE, SORTED = 4096, 1 << 20, 1 << 15
+#: Different contexts of one gram that one task sorts, some 270 bytes and about 1 KB of work each; windows of a text that are
+#: hashed at once; rows sorted at once.
+WIDE, PIECE, SORTED = 1 << 17, 1 << 20, 1 << 15
 
 ANCHORS = "gram long, ctx long, h long, n int, pos int"
 CONTEXTS = "gram long, ctx long, copies long, c long, before binary, after binary"
@@ -134,9 +135,13 @@ def _matrix(column: pa.Array, reverse: bool) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"\0", np.uint8)
     lengths, steps = np.diff(offsets), np.arange(BEFORE)
-    at = offsets[1:, None] - 1 - steps if reverse else offsets[:-1, None] + steps
-    inside = steps < lengths[:, None]
-    return np.where(inside, data[np.where(inside, at, 0)], 0).astype(np.uint8), lengths
+    out = np.zeros((len(lengths), BEFORE), np.uint8)
+    for a in range(0, len(lengths), 1 << 12):
+        part = slice(a, a + (1 << 12))
+        at = (offsets[1:, None][part] - 1 - steps) if reverse else (offsets[:-1, None][part] + steps)
+        inside = steps < lengths[part, None]
+        out[part][inside] = data[at[inside]]
+    return out, lengths
 
 
 def decide(gram: np.ndarray, copies: np.ndarray, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +263,8 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     many = partitions(spark)
     long_enough = documents.where(F.col("n") >= SPAN)
     found = long_enough.select("h", "n", "text").mapInArrow(returning(_anchor_rows), ANCHORS)
-    repeated = found.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram")
+    # sent once more, so that a gram that is in very many texts can be split over tasks in the join
+    repeated = found.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram").repartition("gram")
     shared = materialise(found.join(repeated, "gram", "left_semi"), "suffix-anchors")
 
     one = F.min(F.struct("h", "n", "pos"))
