@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -211,6 +212,7 @@ _STEP4 = (
 )
 
 
+@functools.lru_cache(1 << 17)
 def porter(word: str) -> str:
     w = word
     if len(w) <= 2 or not w.isascii() or not w.isalpha():

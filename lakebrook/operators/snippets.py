@@ -38,16 +38,23 @@ def bounded(text, most: int):
     return F.when(F.length(text) > most, cut).otherwise(text)
 
 
+def told(wanted: DataFrame, most: int) -> DataFrame:
+    """query_id, evidence_id, snippet of the wanted sentences (query_id, evidence_id, k, sentence): runs of sentences are
+    joined by blanks, runs by an ellipsis."""
+    run = F.col("k") - F.row_number().over(Window.partitionBy("query_id", "evidence_id").orderBy("k"))
+    rows = wanted.withColumn("run", run)
+    joined = lambda what, by: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, what))), lambda x: x[what]), " " if what == "sentence" else GAP)
+    runs = rows.groupBy("query_id", "evidence_id", "run").agg(joined("sentence", "k").alias("passage"))
+    return runs.groupBy("query_id", "evidence_id").agg(joined("passage", "run").alias("all")).select("query_id", "evidence_id", bounded(F.col("all"), most).alias("snippet"))
+
+
 def snippets(chunks: DataFrame, matched: DataFrame, most: int = 2400) -> DataFrame:
     """query_id, evidence_id, snippet for matched (query_id, evidence_id, chunk_index): the sentences that touch a matched
-    chunk, each with the one before; runs of sentences are joined by an ellipsis. Texts of unmatched items aren't moved."""
+    chunk, each with the one before. Texts of unmatched items aren't moved. Where there is an index, its excerpts() gives
+    the same from stored places."""
     placed = offsets(chunks.join(matched.select("evidence_id").distinct(), "evidence_id", "left_semi"))
     hit = placed.drop("text").join(matched.select("query_id", "evidence_id", "chunk_index").distinct(), ["evidence_id", "chunk_index"])
     spans = sentence_spans(placed)
     touching = hit.select("query_id", "evidence_id", F.col("low").alias("from"), F.col("high").alias("to")).join(spans, "evidence_id").where("from < high and to > low")
     wanted = touching.select("query_id", "evidence_id", F.explode(F.array(F.col("k") - 1, F.col("k"))).alias("k")).distinct()
-    run = F.col("k") - F.row_number().over(Window.partitionBy("query_id", "evidence_id").orderBy("k"))
-    told = wanted.join(spans.select("evidence_id", "k", "sentence"), ["evidence_id", "k"]).withColumn("run", run)
-    joined = lambda what, by: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, what))), lambda x: x[what]), " " if what == "sentence" else GAP)
-    runs = told.groupBy("query_id", "evidence_id", "run").agg(joined("sentence", "k").alias("passage"))
-    return runs.groupBy("query_id", "evidence_id").agg(joined("passage", "run").alias("all")).select("query_id", "evidence_id", bounded(F.col("all"), most).alias("snippet"))
+    return told(wanted.join(spans.select("evidence_id", "k", "sentence"), ["evidence_id", "k"]), most)

@@ -7,10 +7,16 @@ raters, events for the run log.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.index import chunks_by_line
+from ..operators.store import IndexStore
+from ..session import shared_folder
+
+_stored: dict[tuple[str, str], IndexStore] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +37,20 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def stored_index(spark: SparkSession, d: str) -> IndexStore:
+    """The documents' index in the shared folder, built once for an application and path, deleted when it ends. Questions
+    of the registered queries are answered from it; its words are kept as they stand, as SQL can check them, and as stems."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        store = IndexStore(spark, path, ("plain", "stem"))
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+        store.refresh(table(spark, d, "documents").select(F.col("doc_id").alias("evidence_id"), "text"))
+        _stored[key] = store
+    return _stored[key]
+
+
 def attempts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").cast("long").alias("round"), F.col("l_suppkey").alias("provider"),

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text, times
 from ..operators import index
 from ..operators.containment import holding
-from ..operators.snippets import snippets
-from .entities import SQL, Registry, chunks, evidence, questions, table, with_
+from .entities import Registry, chunks, evidence, questions, stored_index, table, with_
 
 q = Registry()
 WORD = r"[\p{L}\p{N}_]+"
@@ -28,46 +27,56 @@ BM25 = (
 )
 
 
-def scored(spark, d):
-    """Scores on words as they stand, as SQL can check them; bm25_stemmed is the search of the engine."""
-    return index.bm25(chunks(spark, d), questions(spark, d), stemmed=False)
+@q("index_build", rf"WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS piece FROM documents), l AS (SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(lower(piece), '{WORD}') AS words FROM c WHERE trim(piece) <> ''), p AS (SELECT DISTINCT n, unnest(words) AS term FROM l) SELECT (SELECT count(*) FROM documents) AS items, (SELECT count(*) FROM l) AS chunks, (SELECT CAST(sum(len(words)) AS BIGINT) FROM l) AS words, (SELECT count(DISTINCT term) FROM p) AS terms, (SELECT count(*) FROM p) AS postings")
+def index_build(spark, d):
+    """What the stored index holds; builds it, where that hasn't been done in this application."""
+    store = stored_index(spark, d)
+    items = store.table("items").agg(F.count("*").alias("items"), F.sum("n_chunks").alias("chunks"), F.sum("n_words").alias("words"))
+    blocks = store.blocks("plain").agg(F.countDistinct("term").alias("terms"), F.sum("n").alias("postings"))
+    return items.crossJoin(blocks)  # one row each
 
 
 @q("bm25_topk", BM25 + ", top AS (SELECT query_id, evidence_id, chunk_index, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) AS rank FROM ranked WHERE rank = 1) SELECT t.*, d.lang AS platform, d.source AS source_key FROM top t JOIN documents d ON d.doc_id = t.evidence_id WHERE rank <= 10")
 def bm25_topk(spark, d):
-    top = index.top_items(scored(spark, d), 10)
+    top = stored_index(spark, d).top(questions(spark, d), 10, "plain")
     items = table(spark, d, "documents").select(F.col("doc_id").alias("evidence_id"), F.col("lang").alias("platform"), F.col("source").alias("source_key"))
     return top.join(items, "evidence_id").select("query_id", "evidence_id", "chunk_index", "score", "rank", "platform", "source_key")
 
 
+@q("bm25_stored")
+def bm25_stored(spark, d):
+    """Items by stemmed terms, so that a question's evaluate finds evaluation, from the stored blocks of postings; Porter's
+    steps have no SQL twin."""
+    return stored_index(spark, d).top(questions(spark, d), 10, "stem")
+
+
 @q("bm25_stemmed")
 def bm25_stemmed(spark, d):
-    """Items by stemmed terms, so that a question's evaluate finds evaluation; Porter's steps have no SQL twin."""
+    """The same without an index, by scoring every chunk that matches."""
     return index.top_items(index.bm25(chunks(spark, d), questions(spark, d)), 10)
 
 
 @q("best_chunk", BM25 + " SELECT query_id, evidence_id, chunk_index, score FROM ranked WHERE rank = 1")
 def best_chunk(spark, d):
-    return index.best_chunks(scored(spark, d)).drop("rank")
+    return stored_index(spark, d).best(questions(spark, d), 1, analyzer="plain").drop("rank")
 
 
 @q("match_indexes", BM25 + " SELECT query_id, evidence_id, chunk_index, CAST(rank AS BIGINT) AS rank FROM ranked WHERE rank <= 4")
 def match_indexes(spark, d):
-    return index.best_chunks(scored(spark, d), 4).drop("score")
+    return stored_index(spark, d).best(questions(spark, d), 4, analyzer="plain").drop("score")
 
 
 @q("match_counts", BM25 + " SELECT query_id, count(*) AS matched_chunks, count(DISTINCT evidence_id) AS matched_items, least(count(DISTINCT evidence_id), 8) AS returned, least(count(DISTINCT evidence_id), 8) < count(*) AS truncated, least(count(DISTINCT evidence_id), 8) < count(DISTINCT evidence_id) AS truncated_items FROM ranked GROUP BY query_id")
 def match_counts(spark, d):
-    return index.match_counts(scored(spark, d), 8)
+    return stored_index(spark, d).match_counts(questions(spark, d), 8, "plain")
 
 
 @q("snippet")
 def snippet(spark, d):
-    """Excerpts around each query's best chunks: an ordered walk over an item's text, so rows only."""
-    best = index.best_chunks(scored(spark, d), 4)
-    top = index.top_items(best.where("rank = 1").drop("rank"), 10).select("query_id", "evidence_id")
-    matched = best.join(top, ["query_id", "evidence_id"], "left_semi").select("query_id", "evidence_id", "chunk_index")
-    return snippets(chunks(spark, d), matched)
+    """Excerpts around each query's best chunks, from stored places of sentences; white space and sentence ends by Unicode
+    have no SQL twin."""
+    store = stored_index(spark, d)
+    return store.excerpts(store.best(questions(spark, d), 4, 10, "plain"))
 
 
 def planted_passages(spark, d):
@@ -79,7 +88,7 @@ def planted_passages(spark, d):
 def retrieval_recall(spark, d):
     """Expected ids (documents that hold the passage) against those found."""
     planted = planted_passages(spark, d).select(F.col("quote_id").alias("query_id"), F.col("text_id").alias("evidence_id"))
-    found = index.top_items(scored(spark, d), 10).select("query_id", "evidence_id", F.lit(True).alias("hit"))
+    found = stored_index(spark, d).top(questions(spark, d), 10, "plain").select("query_id", "evidence_id", F.lit(True).alias("hit"))
     return planted.select("query_id", "evidence_id").join(found, ["query_id", "evidence_id"], "left").select("query_id", "evidence_id", F.col("hit").isNotNull().alias("found"))
 
 

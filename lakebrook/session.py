@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(), "lakebrook.zip")
+    folder = tempfile.mkdtemp(prefix="lakebrook-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "lakebrook.zip")
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
@@ -26,6 +30,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local master gets one of this machine,
+    which goes with the session's process; on a cluster it would be another folder on each machine, and so an error."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        made = tempfile.mkdtemp(prefix="lakebrook-")
+        atexit.register(shutil.rmtree, made, True)
+        folder = "file://" + made
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def session(app: str = "lakebrook", cpus: int | None = None, **conf: str) -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", os.cpu_count() or 4))
     builder = (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakebrook.functions import ids, text, times
 from lakebrook.operators import containment, evaluation, index, loops, state, window
 from lakebrook.operators import store as store_module
-from lakebrook.operators.snippets import snippets
+from lakebrook.operators.commits import CommitLog
 from lakebrook.operators.store import IndexStore
 from lakebrook.sources import adapters, manifest, posts, transcripts
 from lakebrook.streaming import runlog
@@ -136,7 +136,7 @@ def test_search_of_the_stored_index_equals_search_of_its_texts(spark, tmp_path):
 
 
 def test_a_newer_index_is_refused(spark, tmp_path):
-    spark.createDataFrame([("s1", 99)], "version string, schema int").withColumn("at", F.current_timestamp()).write.parquet(str(tmp_path / "versions"))
+    assert CommitLog(spark, str(tmp_path)).put(1, {"schema": 99})
     with pytest.raises(store_module.NewerIndex):
         IndexStore(spark, str(tmp_path)).current()
 
