@@ -58,12 +58,10 @@ def is_substantive(text: Column) -> Column:
     return F.regexp_replace(text, r"\[[^\[\]]+\]", " ").rlike(r"[\p{L}\p{N}]")
 
 
-def casefold(text: Column) -> Column:
-    """Lower case, with the letters that fold into others: sharp s, long s, final sigma and ligatures of f."""
-    folded = F.translate(F.lower(text), "ſς", "sσ")
-    for letter, plain in (("ß", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff")):
-        folded = F.replace(folded, F.lit(letter), F.lit(plain))
-    return folded
+@F.pandas_udf(StringType())
+def casefold(text: pd.Series) -> pd.Series:
+    """Unicode's full case folding, which is more than lower case; the JVM has none. An Arrow function."""
+    return text.str.casefold()
 
 
 def grounded(quote: Column, text: Column) -> Column:

@@ -157,7 +157,7 @@ def deoverlap(spark, d):
 
 @q("quote_grounding", r"SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON trim(b.text) <> '' AND contains(lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\s+', ' ', 'g'))))")
 def quote_grounding(spark, d):
-    """Quotes and texts meet on the hash of some of the quote's words, and only those that meet are compared."""
+    """Quotes travel to the texts, in a filter of the hashes of three of their words; texts aren't moved."""
     plain = lambda c: text.casefold(text.normalize_ws(F.col(c)))
     bench = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), plain("text").alias("quote"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), plain("text").alias("text"))

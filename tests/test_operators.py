@@ -5,6 +5,7 @@ import random
 import re
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,18 +167,41 @@ def test_registry_rules(spark):
     assert overlap.count() == 0
 
 
-def test_holding_equals_comparing_every_pair(spark):
+@pytest.mark.parametrize("most, size, short", [(1 << 25, 1 << 20, 1 << 20), (40, 1 << 20, 1 << 20), (1 << 25, 50, 30)])
+def test_holding_equals_comparing_every_pair(spark, monkeypatch, most, size, short):
+    """Quotes that travel, quotes too large for that, and many slices and automata."""
+    monkeypatch.setattr(containment, "SLICE", size)
+    monkeypatch.setattr(containment, "SHORT_BYTES", short)
     rng = random.Random(2)
     word = lambda: rng.choice(("a", "ab", "b", "ba", "c", "straße"))
-    texts = [(i, " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(99, None)]
-    quotes = [(i, " ".join(word() for _ in range(rng.randint(0, 7)))) for i in range(60)] + [(70, texts[3][1]), (71, "b a"), (72, None)]
+    gap = lambda: rng.choice((" ", " ", "\n", "  ", "\u00a0"))
+    texts = [(i, "".join(word() + gap() for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(99, None), (98, "")]
+    quotes = [(i, " ".join(word() for _ in range(rng.randint(0, 7)))) for i in range(60)] + [(70, texts[3][1]), (71, "b a"), (72, None), (73, "b a"), (74, " ")]
     quotes += [(80 + i, t[1:-1]) for i, (_, t) in enumerate(texts[:10])]
     t, q = spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame(quotes, "quote_id long, quote string")
-    got = sorted((r.text_id, r.quote_id) for r in containment.holding(t, q).collect())
-    assert got == sorted((i, k) for i, x in texts for k, y in quotes if x is not None and y and y in x)
-    long = containment.holding(t, q.where("quote_id = 70"))._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in long and "Cartesian" not in long
+    found = containment.holding(t, q, most)
+    assert sorted((r.text_id, r.quote_id) for r in found.collect()) == sorted((i, k) for i, x in texts for k, y in quotes if x is not None and y and y in x)
+    assert all(r.text == dict(texts)[r.text_id] and r.quote == dict(quotes)[r.quote_id] for r in found.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and (most == 40 or "Exchange" not in plan and "Generate" not in plan)
+    assert containment.holding(t, q.where("quote_id < 0"), most).count() == 0
+
+
+def test_a_filter_passes_every_anchor_and_little_else():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
+    known = containment.Quotes([" ".join(rng.choices(words, k=9)) for _ in range(3000)])
+    passed = lambda hashes: np.all([(known.filter[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) for b in known._bits(hashes)], axis=0)
+    assert passed(known.hashes).all()
+    others = np.array([rng.getrandbits(64) for _ in range(100000)], np.uint64)
+    assert passed(others).mean() < 0.01
+
+
+def test_grounding_folds_case_as_unicode_says(spark):
     assert one(spark, text.grounded(F.col("q"), F.col("t")), q="STRASSE  zum", t="die Straße zum See")
+    letters = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF and chr(i) != chr(i).casefold()]
+    rows = spark.createDataFrame([(c,) for c in letters], "c string").select("c", text.casefold("c").alias("f")).collect()
+    assert all(r.f == r.c.casefold() for r in rows) and len(rows) > 1000
 
 
 def test_allocations():
