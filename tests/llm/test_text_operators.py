@@ -1,5 +1,6 @@
 """Rules, classifier, tokenizers, packing and line dedup against brute force on small fixtures."""
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -189,6 +190,47 @@ def test_the_program_packs_all_pieces_at_every_size(kind, times):
     assert len(packing.plan(histogram, 4096)[0]) < 20 * len(histogram)
 
 
+def best_fit_decreasing(histogram, capacity):
+    rooms, n = [], 0
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            at = bisect.bisect_left(rooms, length)
+            n += at == len(rooms)
+            room = rooms.pop(at) if at < len(rooms) else capacity
+            bisect.insort(rooms, room - length)
+    return n
+
+
+@pytest.mark.parametrize("low, high, n", [(1364, 2731, 5000), (1, 4096, 200), (1, 4096, 5000), (1000, 2000, 5000), (1300, 1500, 5000), (820, 1639, 3000), (2000, 4096, 300), (500, 2500, 30)])
+def test_the_program_needs_no_more_sequences_than_best_fit_decreasing(low, high, n):
+    rng = np.random.default_rng(n)
+    histogram = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(low, high + 1, n), return_counts=True))}
+    needed = placed_once(histogram)
+    _, bound = packing.plan(histogram, 4096)
+    assert bound <= needed <= best_fit_decreasing(histogram, 4096)
+    if low > 1300 and high > 2048:  # at most two pieces a sequence: volume says little
+        assert bound > -(-sum(k * v for k, v in histogram.items()) // 4096)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_lower_bounds_hold(seed):
+    """Against the fewest sequences found by trying all packings of a few pieces."""
+    rng = np.random.default_rng(seed)
+    pieces = sorted(rng.integers(1, 21, 9).tolist(), reverse=True)
+
+    def fewest(at, rooms):
+        if at == len(pieces):
+            return len(rooms)
+        tried = [fewest(at + 1, rooms[:i] + [r - pieces[at]] + rooms[i + 1 :]) for i, r in enumerate(rooms) if r >= pieces[at] and r not in rooms[:i]]
+        return min([*tried, fewest(at + 1, [*rooms, 20 - pieces[at]])])
+
+    lengths, count = np.unique(pieces, return_counts=True)
+    best = fewest(0, [])
+    assert packing.threshold_bound(lengths, count, 20) <= best and packing.prices(lengths, count, 20)[1] <= best + 1e-6
+    configurations, bound = packing.plan(dict(zip(lengths.tolist(), count.tolist())), 20)
+    assert bound <= best <= sum(times for _, times in configurations) <= best + 1
+
+
 def test_knapsack_equals_enumeration():
     lengths, worth = np.array([3, 5, 7]), np.array([0.31, 0.55, 0.69])
     best, _ = packing._knapsack(lengths, worth, 20)
