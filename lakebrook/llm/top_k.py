@@ -1,16 +1,21 @@
 """Exact top-k inner-product search (operator 8) by multi-resolution segment statistics.
 
-A vector is cut into segments at several resolutions; each segment keeps its mean and the length of its deviations from
-it. By Cauchy-Schwarz the inner product of two vectors is at most the sum, over segments, of n * mean * mean + deviation *
-deviation, which is the same as a lower bound of their distance given their norms. Two passes over pairs of blocks:
-
-1. Each query scores, exactly, the rows of each block that its finest bound likes best. The k-th best of all these
+Vectors are turned once by an orthogonal matrix that a bounded sample of them gives, so that leading components vary most;
+inner products stay as they are. At a resolution, the leading components are segments of their own and the rest is one
+segment, of which a vector keeps the mean and the length of its deviations from it. By Cauchy-Schwarz the inner product of
+two vectors is at most the sum, over segments, of n * mean * mean + deviation * deviation, which is the same as a lower
+bound of their distance given their norms. Finer resolutions have more leading components and go on from the coarser one's
+sums. Two passes over pairs of blocks:
+
+1. Each query scores, exactly, the rows of each block that its coarsest bound likes best. The k-th best of all these
    scores, over all blocks, is the query's floor: no row under it can be among the k best.
-2. Bounds prune against that floor, coarse to fine: segments of 8, 4 and 2 components, then with a half and with three
-   quarters of the pairs taken apart. Only survivors are scored, in integers, and one by one.
+2. Bounds prune against that floor, coarse to fine; each resolution looks at the pairs that the one before has left. Where
+   more than DENSE of a block's pairs are left, the next components are multiplied for all of them in one matrix product,
+   which is cheaper than to pick pairs; where no bound prunes, that comes to the plain inner products and a comparison.
+   Only survivors are scored, in integers, and one by one.
 
-On vectors without any structure (independent components), wide segments can't prune, as deviations in random directions
-look alike to them; the finest ones do. Block.hits() counts the survivors.
+On vectors without any structure (independent components of equal variance) no segment can prune, as deviations in random
+directions look alike. Block.numbers counts the products that both passes take.
 
 Rows are dealt by hash into blocks of bounded size, queries into query blocks; each pair of blocks is one task's work,
 its result at most k rows for each query. Nothing is broadcast and nothing is collected.
@@ -32,8 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, partitions, table
 
-#: Components of a segment, coarse to fine; below two, pairs of which a half (1.5) or three quarters (1.25) are taken apart.
-WIDTHS = (8, 4, 2, 1.5, 1.25)
+#: Shares of the components that lead, coarse to fine; the share of pairs beyond which all of a block's are multiplied; rows
+#: that the turn is fitted on, and the most components that it is fitted for.
+LEADING, DENSE, SAMPLE, TURNED = (1 / 8, 1 / 4, 1 / 2), 0.1, 4096, 1024
 #: Seeds of a block that are scored for each query, in times k; and how many it offers, in times k over all blocks.
 SEEDS, OFFERED = 8, 4
 #: Integers beyond this aren't all doubles.
@@ -42,23 +48,21 @@ HITS = "query_id long, vec_id long, score long"
 LONGS = np.iinfo(np.int64)
 
 
-def _statistics(x: np.ndarray, width: int) -> np.ndarray:
-    """sqrt(n) * mean and deviation length of each segment, so that the bound is a plain inner product of both."""
-    n, d = x.shape
-    segments = -(-d // width)
-    cut = np.zeros((n, width * segments))
-    cut[:, :d] = x
-    cut = cut.reshape(n, segments, width)
-    mean = cut.mean(axis=2)
-    return np.concatenate([mean * np.sqrt(width), np.sqrt(((cut - mean[:, :, None]) ** 2).sum(axis=2))], axis=1)
+def resolutions(d: int) -> list[int]:
+    """How many components lead, coarse to fine."""
+    return sorted({max(1, round(share * d)) for share in LEADING} - {d}) if d > 1 else []
+
+
+def turn(sample: np.ndarray) -> np.ndarray:
+    """An orthogonal matrix whose columns are the directions in which the sample varies, greatest first."""
+    scaled = sample / max(1.0, float(np.abs(sample).max(initial=0)))
+    return np.linalg.eigh(scaled.T @ scaled)[1][:, ::-1]
 
 
-def resolution(x: np.ndarray, width: float) -> np.ndarray:
-    if width >= 2:
-        return _statistics(x, int(width))
-    period = int(2 / (width - 1))
-    apart = np.arange(x.shape[1]) % period < period - 2
-    return np.concatenate([x[:, apart], _statistics(x[:, ~apart], 2)], axis=1)
+def segment(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """sqrt(n) * mean and deviation length of whole rows, so that a bound is a sum of plain products of both."""
+    mean = x.mean(axis=1)
+    return mean * np.sqrt(x.shape[1]), np.sqrt(((x - mean[:, None]) ** 2).sum(axis=1))
 
 
 def integers(components: np.ndarray) -> np.ndarray:
@@ -85,7 +89,7 @@ def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Block:
     """Bounds and exact scores between some queries and some rows, both of finite doubles."""
 
-    def __init__(self, qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray):
+    def __init__(self, qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, turned: np.ndarray | None = None):
         order = np.argsort(vid, kind="stable")
         x = x[order]
         self.qid, self.vid = qid, vid[order]
@@ -102,18 +106,40 @@ class Block:
         self.slack = 1e-9 * np.linalg.norm(self.q, axis=1)[:, None] * np.linalg.norm(self.x, axis=1)[None, :]
         self.own = qid[:, None] == self.vid[None, :]
 
-    def bound(self, width: float) -> np.ndarray:
-        return np.where(self.own, -np.inf, resolution(self.q, width) @ resolution(self.x, width).T + self.slack)
+        if turned is not None:
+            self.q, self.x = self.q @ turned, self.x @ turned
+        self.leading, self.numbers = resolutions(self.q.shape[1]), 0
+
+    def rest(self, m: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """The segments of all components from m on, of queries and of rows."""
+        return segment(self.q[:, m:]), segment(self.x[:, m:])
+
+    def _dense(self, sums: np.ndarray, a: int, m: int) -> np.ndarray:
+        """Bounds of all pairs at m leading components; sums, of those before a, are added to."""
+        sums += self.q[:, a:m] @ self.x[:, a:m].T
+        self.numbers += sums.size * (m - a)
+        return np.where(self.own, -np.inf, self._with_rest(sums, m, slice(None), slice(None), True) + self.slack)
+
+    def _with_rest(self, sums: np.ndarray, m: int, i, j, outer: bool) -> np.ndarray:
+        if m == self.q.shape[1]:
+            return sums
+        self.numbers += 2 * sums.size
+        return sum((u[i][:, None] * v[j][None, :] if outer else u[i] * v[j]) for u, v in zip(*self.rest(m))) + sums
+
+    def bound(self, m: int) -> np.ndarray:
+        """Bounds of all pairs at m leading components, each at least its score; minus infinity for a query's own rows."""
+        return self._dense(np.zeros((len(self.qid), len(self.vid))), 0, m)
 
     def exactly(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Scores of the pairs (i, j), a bounded number at a time."""
         step = max(1, (1 << 21) // max(1, self.q.shape[1]))
+        self.numbers += len(i) * self.q.shape[1]
         parts = [scores(self.exact[0][i[a : a + step]], self.exact[1][j[a : a + step]]) for a in range(0, len(i), step)]
         return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
     def seeds(self, k: int, offered: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each query the `offered` best scores among the SEEDS * k rows of the highest bounds."""
-        bound = self.bound(WIDTHS[-1])
+        bound = self.bound(self.leading[0] if self.leading else self.q.shape[1])
         most = min(SEEDS * k, len(self.vid))
         j = np.argpartition(-bound, most - 1, axis=1)[:, :most].ravel()
         i = np.repeat(np.arange(len(self.qid)), most)
@@ -130,13 +156,28 @@ class Block:
         return i[best], j[best], score[best]
 
     def hits(self, floor: list[int | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-        """The k best rows of each query that reach its floor; and the pairs that each resolution left, coarse to fine."""
+        """The k best rows of each query that reach its floor; and the pairs that each resolution left, coarse to fine, the
+        last being all components."""
         least = np.array([-np.inf if f is None else f / 2**self.unit for f in floor])
-        left, counts = ~self.own, []
-        for width in WIDTHS:
-            left &= self.bound(width) >= least[:, None] - 1e-12 * np.abs(least)[:, None]
-            counts.append(int(left.sum()))
-        i, j, score = self._best(*np.nonzero(left), k)
+        least = least - 1e-12 * np.where(np.isinf(least), 0, np.abs(least))
+        sums, counts, before, pairs = np.zeros(self.own.shape), [], 0, None
+        for m in [*self.leading, self.q.shape[1]]:
+            if pairs is None:
+                left = self._dense(sums, before, m) >= least[:, None]
+                counts.append(int(left.sum()))
+                if counts[-1] <= DENSE * left.size or m == self.q.shape[1]:
+                    pairs = np.nonzero(left & ~self.own)
+                    part = sums[pairs]
+            else:
+                i, j = pairs
+                step = max(1, (1 << 20) // max(1, m - before))
+                part = part + np.concatenate([np.einsum("ij,ij->i", self.q[i[a : a + step], before:m], self.x[j[a : a + step], before:m]) for a in range(0, len(i), step)] or [np.empty(0)])
+                self.numbers += len(i) * (m - before)
+                kept = self._with_rest(part, m, i, j, False) + self.slack[i, j] >= least[i]
+                pairs, part = (i[kept], j[kept]), part[kept]
+                counts.append(int(kept.sum()))
+            before = m
+        i, j, score = self._best(*pairs, k)
         if score.dtype == object and any(not LONGS.min <= s <= LONGS.max for s in score):
             raise OverflowError("a score among the best is no 64-bit integer")
         return self.qid[i], self.vid[j], score.astype(np.int64), counts
@@ -149,6 +190,14 @@ def _frame(found) -> pd.DataFrame:
 NOTHING = tuple(np.empty(0, np.int64) for _ in range(3))
 
 
+def _turns(dealt: DataFrame) -> dict[int, np.ndarray]:
+    """A matrix for each dimension of which SAMPLE rows, the least by hash, hold enough; others stay as they are."""
+    by_dimension: dict[int, list] = {}
+    for r in dealt.where(F.col("d").between(2, TURNED)).orderBy(F.xxhash64("v"), "vec_id").limit(SAMPLE).select("d", "v").collect():
+        by_dimension.setdefault(r["d"], []).append(r["v"])
+    return {d: turn(np.array(v, float)) for d, v in by_dimension.items() if len(v) >= d}
+
+
 def exact_top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, rows_per_block: int = 4096, queries_per_block: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -158,6 +207,7 @@ def exact_top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, rows_pe
     n = dealt.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % query_every == 0).alias("q")).first()
     blocks = max(partitions(spark), -(-n["n"] // rows_per_block))
     query_blocks = max(1, -(-n["q"] // queries_per_block))
+    turns = _turns(dealt)
     rows = dealt.withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = dealt.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id", "v"]).withColumn("qb", F.pmod(F.xxhash64("vec_id", "v", F.lit(7)), F.lit(query_blocks)).cast("int"))
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -166,7 +216,7 @@ def exact_top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, rows_pe
     def block(left: pd.DataFrame, right: pd.DataFrame) -> Block | None:
         if not len(left) or not len(right):
             return None
-        return Block(left["vec_id"].to_numpy(np.int64), np.stack(left["v"]).astype(float), right["vec_id"].to_numpy(np.int64), np.stack(right["v"]).astype(float))
+        return Block(left["vec_id"].to_numpy(np.int64), np.stack(left["v"]).astype(float), right["vec_id"].to_numpy(np.int64), np.stack(right["v"]).astype(float), turns.get(len(left["v"].iloc[0])))
 
     offered = min(k, max(1, -(-OFFERED * k // blocks)))
 
