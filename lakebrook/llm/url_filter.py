@@ -2,11 +2,14 @@
 
 A cascade stores a list of keys exactly with respect to a complete key universe. Level 1 is a Bloom filter of the
 listed keys; level 2 one of the universe's unlisted keys that level 1 lets through; level 3 one of the listed keys that
-level 2 lets through, and so on until a level lets nothing wrong through. A key's first rejecting level decides: an odd
+level 2 lets through, and so on until a level lets nothing wrong through. Level 1 lets through about as many unlisted keys
+as there are listed ones, whatever the universe's size, and each later level about a quarter of what it should stop, so
+that all levels together are of the order of the listed keys times the logarithm of the universe per listed key. A key's first rejecting level decides: an odd
 one says unlisted, an even one says listed; without any, the last level's side holds. The universe is every candidate
 key of the corpus, so the answers are exact for it and no URL row is ever joined or shuffled: each filter is one literal
 of the plan. Lists of more than MOST_KEYS keys are dealt by hash into several cascades, each over its part of the
-universe; the plan then grows by about 2 MB for a million listed keys. The only shuffle is the distinct of candidate
+universe; a cascade's filters have about 1.44 * log2(universe / listed) + 6 bits a listed key, and a literal three times
+that, so that a million listed keys among 10^10 make a plan of about 10 MB. The only shuffle is the distinct of candidate
 keys, combined before it is sent.
 
 Null cases: a null URL, or one without "://", has empty host and path, fits no rule and is allowed. Repeated rows are
@@ -28,12 +31,23 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path) of the contract.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: Names blocked where no rule fits, under every domain that the pages' hosts have; with all their subdomains.
+#: Names that are blocked, with all their subdomains, where no rule fits, and the domains they stand under. A small list: a
+#: longer one is handed to url_verdicts(listed=...), as listed_hosts() or as it is.
 LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-LISTED_DOMAINS = tuple(f"{name}.{domain}" for name in LISTED_NAMES for domain in ("example.com", "example.net", "example.org"))
+DOMAINS = ("example.com", "example.net", "example.org")
 
-#: Listed keys of one cascade: its filters stay under about 2 MB.
+#: Listed keys of one cascade.
 MOST_KEYS = 1_000_000
+#: Bits a key of the levels after the first, which let a quarter through.
+LATER_BITS = 2 / math.log(2)
+
+
+def listed_hosts(names=LISTED_NAMES, domains=DOMAINS) -> tuple[str, ...]:
+    """Each name under each domain."""
+    return tuple(f"{name}.{domain}" for name in names for domain in domains)
+
+
+LISTED_DOMAINS = listed_hosts()
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -63,10 +77,10 @@ def _position(key: Column, level: int, i: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(1000 * level + i), key), F.lit(bits)).cast("long")
 
 
-def _bloom(keys: DataFrame, count: int, level: int, bits_per_key: float = 12.0) -> Bloom:
+def _bloom(keys: DataFrame, count: int, level: int, bits_per_key: float) -> Bloom:
     """Set bits are gathered by word; at most the filter's own size reaches the driver."""
-    words = max(4, math.ceil(count * bits_per_key / 64))
-    hashes = max(1, round(bits_per_key * math.log(2)) // 2)
+    words = max(1, math.ceil(count * bits_per_key / 64))
+    hashes = max(1, round(bits_per_key * math.log(2)))
     bits = 64 * words
     at = keys.select(F.explode(F.array(*[_position(F.col("key"), level, i, bits) for i in range(hashes)])).alias("p"))
     set_words = at.selectExpr("cast(p div 64 as int) as w", "shiftleft(1L, cast(p % 64 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b"))
@@ -82,9 +96,11 @@ def _levels(listed: DataFrame, universe: DataFrame, most: int) -> tuple[Bloom, .
     levels: list[Bloom] = []
     wrong = [listed, universe]
     count = wrong[0].count()
+    # level 1 lets through as many unlisted keys as there are listed ones
+    bits = max(LATER_BITS, math.log2(max(1, wrong[1].count()) / max(1, count)) / math.log(2))
     while count and len(levels) < most:
         side = len(levels) % 2
-        bloom = _bloom(wrong[side], count, len(levels))
+        bloom = _bloom(wrong[side], count, len(levels), LATER_BITS if levels else bits)
         levels.append(bloom)
         wrong[1 - side] = wrong[1 - side].where(bloom.passes(F.col("key"), len(levels) - 1))
         count = wrong[1 - side].count()
@@ -100,7 +116,7 @@ class Cascade:
     parts: tuple[tuple[Bloom, ...], ...]
 
     @staticmethod
-    def build(listed: DataFrame, universe: DataFrame, max_levels: int = 24) -> "Cascade":
+    def build(listed: DataFrame, universe: DataFrame, max_levels: int = 64) -> "Cascade":
         """listed and universe: one column key, distinct. Listed keys need not occur in the universe."""
         unlisted = universe.select("key").join(listed.select("key"), "key", "left_anti")
         parts = max(1, math.ceil(listed.count() / MOST_KEYS))
