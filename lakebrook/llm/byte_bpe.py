@@ -264,11 +264,12 @@ def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids_hash.append(hashlib.sha256(ids).hexdigest())
                 machine = Utf8Machine()
                 h, chars = hashlib.sha256(), 0
-                for part in c.decode(ids):
-                    h.update(part)
-                    chars += len(machine.feed(part))
+                # the hash is of what the machine hands on; a whole text's ids never make it replace anything
+                for said in (*map(machine.feed, c.decode(ids)), machine.feed(b"", final=True)):
+                    h.update(said.encode("utf-8"))
+                    chars += len(said)
                 text_hash.append(h.hexdigest())
-                out.append(chars + len(machine.feed(b"", final=True)))
+                out.append(chars)
             columns = [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string()), pa.array(out, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_decoded"])
 
