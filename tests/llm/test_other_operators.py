@@ -186,22 +186,44 @@ def test_top_k_is_exact_for_large_components(spark, power):
 
 
 def test_top_k_bounds_hold_and_prune():
-    """No bound is under its score, and fewer pairs are scored than there are: on the given vectors and on clustered ones."""
+    """No bound is under its score, finer ones see what coarser ones left, and the results are those of plain products; on
+    vectors with structure both passes together multiply fewer numbers than those, on the given ones not many more."""
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(20, 64))
     given = np.stack(pq.read_table("/root/testdata/sf0.1/embeddings.parquet").column("embedding").to_numpy(zero_copy_only=False)).astype(float)
-    for x, most in ((given, 0.5), (centres[rng.integers(0, 20, 2000)] + 0.1 * rng.normal(size=(2000, 64)), 0.2)):
+    falling = rng.normal(size=(2000, 64)) * 0.85 ** np.arange(64) @ np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    for x, most in ((given, 64 * 1.5), (centres[rng.integers(0, 20, 2000)] + 0.1 * rng.normal(size=(2000, 64)), 64), (falling, 64)):
         ids = np.arange(len(x))
-        block = top_k.Block(ids[::100], x[::100], ids, x)
+        block = top_k.Block(ids[::100], x[::100], ids, x, top_k.turn(x[:500]))
         whole = np.floor(x * 1024)
         score = whole[::100] @ whole.T
-        for width in top_k.WIDTHS:
-            bound = np.ldexp(block.bound(width), block.unit)
+        for m in (*block.leading, 64):
+            bound = np.ldexp(block.bound(m), block.unit)
             assert (bound[~block.own] >= score[~block.own] - 1e-3).all()
+        block.numbers = 0
         asked, _, seeds = block.seeds(10, 10)
         floor = [int(np.sort(seeds[asked == q])[-10]) for q in ids[::100]]
-        *_, counts = block.hits(floor, 10)
-        assert counts == sorted(counts, reverse=True) and counts[-1] < most * score.size, counts
+        q, v, s, counts = block.hits(floor, 10)
+        assert counts == sorted(counts, reverse=True) and block.numbers < most * score.size, (counts, block.numbers / score.size)
+        for i, query in enumerate(ids[::100]):
+            others = [(-int(score[i, j]), j) for j in ids if j != query]
+            assert [(-a, b) for a, b in zip(s[q == query].tolist(), v[q == query].tolist())] == sorted(others)[:10]
+
+
+def test_top_k_of_very_long_vectors_and_many_equal_queries(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=3000)]) for i in range(30)] + [(100 * (i % 3), [1.0, 2.0]) for i in range(300)] + [(7, [2.0, 2.0])]
+    got = {}
+    for r in top_k.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows_per_block=50, queries_per_block=2).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {0, 100, 200}
+    # of other ids there are 100 equal rows each; the best is the one with the greater score
+    best = 1024 * 1024 * 6
+    assert got[100] == [(1, 7, best)] + [(n, 0, 1024 * 1024 * 5) for n in range(2, 11)]
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows[:30]}
+    long = sorted(((-sum(a * b for a, b in zip(whole[0], whole[i])), i) for i in range(1, 30)))
+    short = [(-best, 7)] + [(-5 * 1024 * 1024, 100)] * 100 + [(-5 * 1024 * 1024, 200)] * 100
+    assert sorted((-s, v) for _, v, s in got[0]) == sorted([*long, *short])[:10]
 
 
 def test_chats(spark):
@@ -300,6 +322,21 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert universe.where(cascade.holds(F.col("key")) != F.expr("hash(key) % 7 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("n", [100_000, 1_000_000, 10_000_000])
+def test_cascades_are_bounded_by_the_listed_keys(spark, n):
+    """All levels together, at universes of very different sizes; and exact over them."""
+    from pyspark.sql import functions as F
+
+    universe = spark.range(n).selectExpr("concat('k', id) as key")
+    listed = spark.range(0, n, n // 500).selectExpr("concat('k', id) as key")
+    cascade = url_filter.Cascade.build(listed, universe)
+    bits = [64 * len(level.words) for level in cascade.parts[0]]
+    assert sum(bits) <= 4 * 500 * np.log2(n / 500) and sum(bits) <= 4 * bits[0]
+    if n < 10_000_000:
+        assert universe.where(cascade.holds(F.col("key"))).count() == 500
+    assert listed.where(~cascade.holds(F.col("key"))).count() == 0
+
+
 def test_html(spark):
     model = html_extract.train([html_extract.Page(s) for s in html_extract.labelled_pages(120)])
     held_out = [html_extract.Page(s) for s in html_extract.labelled_pages(80, seed=9)]
