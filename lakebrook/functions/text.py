@@ -58,10 +58,19 @@ def is_substantive(text: Column) -> Column:
     return F.regexp_replace(text, r"\[[^\[\]]+\]", " ").rlike(r"[\p{L}\p{N}]")
 
 
-@F.pandas_udf(StringType())
-def casefold(text: pd.Series) -> pd.Series:
-    """Unicode's full case folding, which is more than lower case; the JVM has none. An Arrow function."""
-    return text.str.casefold()
+#: What Unicode's full case folding does beyond lower case, from Python's tables: one letter to another, and one to several.
+#: Cherokee is left out: it folds to upper case, which pairs the same letters as lower case does.
+_BEYOND = {c: c.casefold() for c in map(chr, range(0x110000)) if c.casefold() != c.lower() and not "\u13a0" <= c <= "\u13fd" and not "\uab70" <= c <= "\uabbf"}
+_ONE = {c: f for c, f in _BEYOND.items() if len(f) == 1} | {"Σ": "σ"}  # Java writes a word's last sigma differently
+_SEVERAL = {c: f for c, f in _BEYOND.items() if len(f) > 1} | {"İ": "İ".casefold()}
+
+
+def casefold(text: Column) -> Column:
+    """Unicode's full case folding. Only texts that hold a letter which folds to several are taken apart."""
+    several = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+    whole = F.when(text.rlike("[" + "".join(_SEVERAL) + "]"), spread).otherwise(text)
+    return F.lower(F.translate(whole, "".join(_ONE), "".join(_ONE.values())))
 
 
 def grounded(quote: Column, text: Column) -> Column:

@@ -7,8 +7,11 @@ its items stay in DataFrames, a batch of calls runs on the executors, and the bu
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import asdict, dataclass
+from itertools import accumulate
+from types import MappingProxyType
 from typing import Any
 
 import pandas as pd
@@ -91,13 +94,13 @@ def gates(answer: dict[str, Any], supplied: set[str]) -> dict[str, tuple[bool, b
 
 def agent_task(
     task: Task, evidence: list[dict[str, Any]], ask: Callable[[str, list[dict], str], tuple[dict, float]], store: Checkpoints,
-    model: str, clock: Callable[[], float] = time.time,
+    model: str, clock: Callable[[], float] = time.time, guidance: Mapping[str, str] = MappingProxyType({}),
 ) -> dict[str, Any]:
     """Asks, judges by the gates, asks again with what failed, up to the task's rounds and budget; else hands over to a person.
 
     ask(question, evidence, feedback) gives (answer, cost) or raises Rejected or ProviderError. A round in progress is
     resumed with its spending and its first start: a deadline is one of the task, not of a process. Answers that passed
-    are given again; escalated ones are tried anew.
+    are given again; escalated ones are tried anew. guidance tells a person what to do, by the reason of a stop.
     """
     supplied = {str(e["evidence_id"]) for e in evidence}
     key = cache_key(task=asdict(task), evidence=sorted(supplied), model=model)
@@ -138,28 +141,22 @@ def agent_task(
         "attempts": attempts, "model_calls": state.calls, "cost_usd": state.cost,
     }
     if outcome in ("ESCALATED_FOR_REVIEW", "FAILED_BUDGET"):
-        result["human_review"] = review_package(task, supplied, attempts, reason, state.cost, model)
+        result["human_review"] = handover(attempts, reason, guidance)
     state.outcome, state.done["result"] = outcome, result
     store.save(state)
     return result
 
 
-# What a reviewer should do next.
-NEXT_ACTION = {
-    "BUDGET_EXHAUSTED": "Raise the budget or narrow the question, then run again.",
-    "PROVIDER_REQUEST_FAILED": "Look at the provider's credentials and state, then run again.",
-    "QUALITY_GATE_NOT_REACHED": "Hold the failed criteria against the cited evidence, then mend the evidence or the question.",
-}
-
-
-def review_package(task: Task, supplied: set[str], attempts: list[dict], reason: str, cost: float, model: str) -> dict[str, Any]:
-    """All that a person needs to take a task over."""
-    last = attempts[-1] if attempts else {"failed": [], "error": None}
-    answered = [a["answer"] for a in attempts if a["answer"]]
+def handover(attempts: list[dict[str, Any]], stop: str, guidance: Mapping[str, str]) -> dict[str, Any]:
+    """What a person needs to take a task over, from its attempts: why it stopped and what the caller's guidance says about
+    such a stop (nothing, where it is silent); how often each gate failed; the rounds that gave an answer, and the spending
+    up to each round. Answers and errors themselves stay in the attempts."""
+    spent = list(accumulate(a["cost_usd"] for a in attempts))
     return {
-        "reason": reason, "next_action": NEXT_ACTION[reason], "failed_criteria": last["failed"], "last_error": last["error"],
-        "last_output": answered[-1] if answered else None, "evidence_ids": sorted(supplied),
-        "budget_state": {"model": model, "attempts": len(attempts), "rounds": task.rounds, "cost_usd": cost, "max_cost_usd": task.budget.cost},
+        "stop": stop, "guidance": guidance.get(stop),
+        "failures": dict(Counter(name for a in attempts for name in a["failed"])),
+        "answered_rounds": [a["round"] for a in attempts if a["answer"]],
+        "spent_by_round": [round(s, 8) for s in spent],
     }
 
 

@@ -6,7 +6,7 @@ import json
 import re
 import threading
 import uuid
-from collections.abc import Collection, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from datetime import datetime, timezone
 from pathlib import Path
 from typing import Any, NamedTuple
@@ -18,20 +18,20 @@ from ..functions.text import BEARER, MAX_STRING, SECRET_KEY, SIGNED_URL, redact,
 
 
 class Kind(NamedTuple):
-    trigger: str
+    #: Whether two runs on the same input may differ, and the kinds of runs that one of these may start.
     stochastic: bool
     children: tuple[str, ...] = ()
 
 
-# The kinds of loops, what starts one, and which kinds it may start.
+# The kinds of loops.
 KINDS = {
-    "SOURCE_INGESTION": Kind("one configured source run", False),
-    "LIBRARY_UPDATE": Kind("manual or scheduled update", False, ("SOURCE_INGESTION",)),
-    "RESEARCH_QUERY": Kind("one user question", False),
-    "AGENT_TASK": Kind("one bounded research task", True, ("RESEARCH_QUERY",)),
-    "DIGEST": Kind("one frozen corpus window", True),
-    "MODEL_EVALUATION": Kind("one provider comparison suite", True, ("AGENT_TASK",)),
-    "PROJECT_IMPROVEMENT": Kind("one roadmap iteration", True),
+    "SOURCE_INGESTION": Kind(False),
+    "LIBRARY_UPDATE": Kind(False, ("SOURCE_INGESTION",)),
+    "RESEARCH_QUERY": Kind(False),
+    "AGENT_TASK": Kind(True, ("RESEARCH_QUERY",)),
+    "DIGEST": Kind(True),
+    "MODEL_EVALUATION": Kind(True, ("AGENT_TASK",)),
+    "PROJECT_IMPROVEMENT": Kind(True),
 }
 
 
@@ -41,28 +41,47 @@ def new_run(kind: str, parent: str | None = None) -> dict[str, str]:
     return {"loop_type": kind, "run_id": uuid.uuid4().hex, **({"parent_run_id": parent} if parent else {})}
 
 
-def option(values: Mapping[str, str], name: str, default: str, allowed: Collection[str]) -> str:
-    """A provider's option, of those allowed; anything else fails before a request is made."""
-    value = (values.get(name) or default).strip().lower()
-    if value not in allowed:
-        raise ValueError(f"{name} must be one of {sorted(allowed)}, not {value!r}")
-    return value
+def chosen(settings: Mapping[str, str], domains: Mapping[str, Sequence[str]]) -> dict[str, str]:
+    """One value for each declared option. domains: an option's values, its default first. All options are looked at before
+    anything is requested, and all that are wrong are told at once."""
+    taken = {name: settings.get(name, "").strip().lower() or domain[0] for name, domain in domains.items()}
+    wrong = {name: value for name, value in taken.items() if value not in domains[name]}
+    if wrong:
+        raise ValueError("; ".join(f"{name}: {value} is none of {', '.join(domains[name])}" for name, value in wrong.items()))
+    return taken
 
 
-_secret, _url, _bearer = re.compile(SECRET_KEY, re.IGNORECASE), re.compile(SIGNED_URL), re.compile(BEARER)
+HIDDEN = "[REDACTED]"
+_secret = re.compile(SECRET_KEY, re.IGNORECASE)
+#: What functions.text.redact does to strings, for those that the driver holds.
+_PATTERNS = ((re.compile(SIGNED_URL), r"\1[QUERY_REDACTED]"), (re.compile(BEARER), rf"\1{HIDDEN}"))
+
+
+def _cells(tree: Any) -> Iterator[tuple[Any, Any, bool]]:
+    """(container, place, hidden) of every value below tree, which is plain JSON: hidden where its key names a secret, or
+    where it follows a flag that does."""
+    open_nodes = [tree]
+    while open_nodes:
+        node = open_nodes.pop()
+        flagged = [False, *(isinstance(x, str) and x.startswith("--") and bool(_secret.search(x)) for x in node)] if isinstance(node, list) else []
+        for place in list(node) if isinstance(node, dict) else range(len(node)):
+            hidden = bool(_secret.search(place)) if isinstance(node, dict) else flagged[place]
+            yield node, place, hidden
+            if isinstance(node[place], dict | list):
+                open_nodes.append(node[place])
 
 
 def safe(value: Any) -> Any:
-    """The driver's twin of functions.text.redact, for values of any shape."""
-    if isinstance(value, Mapping):
-        return {str(k): "[REDACTED]" if _secret.search(str(k)) else safe(v) for k, v in value.items()}
-    if isinstance(value, list | tuple):
-        flags = [False, *(isinstance(x, str) and x.startswith("--") and bool(_secret.search(x)) for x in value)]
-        return ["[REDACTED]" if after_flag else safe(x) for after_flag, x in zip(flags, value)]
-    if not isinstance(value, str):
-        return value
-    clean = _bearer.sub(r"\1[REDACTED]", _url.sub(r"\1[QUERY_REDACTED]", value))
-    return clean if len(clean) <= MAX_STRING else clean[:MAX_STRING] + "...[TRUNCATED]"
+    """A plain copy of any value, as JSON has it, without secrets and with long strings cut."""
+    tree = [json.loads(json.dumps(value, ensure_ascii=False, default=str))]
+    for node, place, hidden in _cells(tree):
+        if hidden:
+            node[place] = HIDDEN
+        elif isinstance(node[place], str):
+            for pattern, instead in _PATTERNS:
+                node[place] = pattern.sub(instead, node[place])
+            node[place] = node[place][:MAX_STRING] + "...[TRUNCATED]" * (len(node[place]) > MAX_STRING)
+    return tree[0]
 
 
 # The keys of an event, in the log's order.
@@ -97,7 +116,7 @@ def append_events(events: DataFrame, path: str) -> None:
     cleaned = []
     for name, kind in events.dtypes:
         if _secret.search(name):
-            cleaned.append(F.lit("[REDACTED]").alias(name))
+            cleaned.append(F.lit(HIDDEN).alias(name))
         else:
             cleaned.append({"string": redact, "map<string,string>": redact_map}.get(kind, lambda c: c)(F.col(f"`{name}`")).alias(name))
     events.select(*cleaned).write.mode("append").json(path)

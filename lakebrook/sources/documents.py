@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.commits import put_file, rename
 from ..operators.index import fingerprint
 
 SNAPSHOT_VERSION = 1
@@ -27,19 +29,20 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_document(spark: SparkSession, path: str, value: dict) -> None:
-    """One JSON file, whole or not at all, on any file system that Spark knows."""
+def write_document(spark: SparkSession, path: str, value: dict, replace: bool = True) -> None:
+    """One JSON file, which is there whole, or as it was before: the new one takes its place in one step. Without replace
+    an existing one is an error."""
     target, fs = _fs(spark, path)
-    part = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.part")
-    out = fs.create(part, True)
+    part = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(part, False)
     try:
         out.write(bytearray((json.dumps(value, ensure_ascii=False, indent=2, default=str) + "\n").encode()))
     finally:
         out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"{path} could not be written")
+    if replace:
+        rename(spark, part, target, True)
+    elif not put_file(spark, part, target):
+        raise FileExistsError(path)
 
 
 def read_document(spark: SparkSession, path: str) -> dict:
@@ -72,15 +75,19 @@ def snapshot_name(since: datetime, until: datetime, platforms: Sequence[str] = (
 def freeze_window(items: DataFrame, path: str, since: datetime, until: datetime, counters: dict, platforms: Sequence[str] = ()) -> dict:
     """Writes a window's items (evidence_id, content_hash and any others) as Parquet beside a description of the window, last, so that
     a snapshot without one is none. The description carries the items' fingerprint: a run that resumes sees whether
-    another set would be meant. Items are not gathered, however many there are."""
-    spark = items.sparkSession
-    items.write.mode("overwrite").parquet(f"{path}/items")
-    told = fingerprint(spark.read.parquet(f"{path}/items")).first()
+    another set would be meant. Items are not gathered, however many there are. A window that is frozen stays as it is: to
+    freeze it again is an error, and what a failed attempt has left is named by no description."""
+    spark, name = items.sparkSession, f"items-{uuid.uuid4().hex}"
+    described, fs = _fs(spark, f"{path}/window.json")
+    if fs.exists(described):
+        raise FileExistsError(f"{path} is frozen")
+    items.write.parquet(f"{path}/{name}")
+    told = fingerprint(spark.read.parquet(f"{path}/{name}")).first()
     snapshot = {
         "snapshot_version": SNAPSHOT_VERSION, "since": since.isoformat(), "until": until.isoformat(), "platforms": sorted(platforms),
-        **counters, "n_items": told["n"], "index_signature": told["fingerprint"],
+        **counters, "n_items": told["n"], "index_signature": told["fingerprint"], "items": name,
     }
-    write_document(spark, f"{path}/window.json", snapshot)
+    write_document(spark, f"{path}/window.json", snapshot, replace=False)
     return snapshot
 
 
@@ -89,7 +96,7 @@ def load_snapshot(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     snapshot = read_document(spark, f"{path}/window.json")
     if snapshot.get("snapshot_version") != SNAPSHOT_VERSION:
         raise Unsupported(f"{path} is no window snapshot of version {SNAPSHOT_VERSION}")
-    items = spark.read.parquet(f"{path}/items")
+    items = spark.read.parquet(f"{path}/{snapshot['items']}")
     if fingerprint(items).first()["fingerprint"] != snapshot["index_signature"]:
         raise Unsupported(f"the items of {path} are not those that were frozen")
     return snapshot, items

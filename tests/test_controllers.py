@@ -40,7 +40,7 @@ def test_frozen_windows_are_checked(spark, tmp_path):
     assert path.endswith("2026-01-01-to-2026-01-08-x") and told["n_items"] == 2
     snapshot, items = documents.load_snapshot(spark, path)
     assert snapshot == told and items.count() == 2
-    spark.createDataFrame([("9", "h", "s", "", "other")], items.schema).write.mode("append").parquet(f"{path}/items")
+    spark.createDataFrame([("9", "h", "s", "", "other")], items.schema).write.mode("append").parquet(f"{path}/{told['items']}")
     with pytest.raises(documents.Unsupported):
         documents.load_snapshot(spark, path)
     documents.write_document(spark, f"{path}/window.json", told | {"snapshot_version": 7})
@@ -176,9 +176,39 @@ def test_kinds_and_options():
     with pytest.raises(ValueError):
         runs.new_run("NOPE")
     assert runs.new_run("AGENT_TASK", "p")["parent_run_id"] == "p"
-    assert runs.option({"A": " TEXT "}, "A", "none", {"text", "none"}) == "text" and runs.option({}, "A", "none", {"none"}) == "none"
-    with pytest.raises(ValueError):
-        runs.option({"A": "jsn"}, "A", "none", {"none"})
+    domains = {"A": ("none", "text"), "B": ("low", "high")}
+    assert runs.chosen({"A": " TEXT "}, domains) == {"A": "text", "B": "low"} and runs.chosen({}, domains) == {"A": "none", "B": "low"}
+    with pytest.raises(ValueError, match="A: jsn .*; B: x"):
+        runs.chosen({"A": "jsn", "B": "x"}, domains)
+
+
+def test_a_handover_tells_what_its_attempts_say(tmp_path):
+    ask, _ = answers(GOOD | {"citation_ids": ["e9"]}, Rejected("no JSON"), GOOD | {"answer": " "})
+    got = controllers.agent_task(controllers.Task("t", "q?", WIDE), EVIDENCE, ask, Checkpoints(tmp_path / "c.json"), "m", guidance={"QUALITY_GATE_NOT_REACHED": "read the sources"})
+    told = got["human_review"]
+    assert told["stop"] == got["stop_reason"] and told["guidance"] == "read the sources" and told["answered_rounds"] == [1, 3]
+    assert told["failures"]["citation_validation"] == 1 and told["failures"]["no JSON"] == 1 and told["spent_by_round"] == [0.5, 0.5, 1.0]
+
+
+def test_a_frozen_window_stays_as_it_is(spark, tmp_path):
+    items = spark.createDataFrame([("1", "h", "x")], "evidence_id string, content_hash string, text string")
+    path, since, until = str(tmp_path / "w"), datetime(2026, 1, 1), datetime(2026, 1, 8)
+    documents.freeze_window(items, path, since, until, {})
+    with pytest.raises(FileExistsError):
+        documents.freeze_window(items.limit(0), path, since, until, {})
+    assert documents.load_snapshot(spark, path)[1].count() == 1
+    documents.write_document(spark, f"{path}/other.json", {"n": 1})
+    documents.write_document(spark, f"{path}/other.json", {"n": 2})
+    assert documents.read_document(spark, f"{path}/other.json") == {"n": 2}
+    with pytest.raises(FileExistsError):
+        documents.write_document(spark, f"{path}/other.json", {"n": 3}, replace=False)
+    assert documents.read_document(spark, f"{path}/other.json") == {"n": 2} and not [p for p in (tmp_path / "w").iterdir() if p.name.startswith(".other")and not p.name.endswith(".crc")]
+
+
+def test_nested_values_lose_their_secrets():
+    value = {"a": [{"token": {"deep": "x"}}, ("--api-key", "k", "--plain", "v")], "n": 1.5, "none": None, "Authorization": ["z"], "when": datetime(2026, 1, 1)}
+    assert runs.safe(value) == {"a": [{"token": "[REDACTED]"}, ["--api-key", "[REDACTED]", "--plain", "v"]], "n": 1.5, "none": None, "Authorization": "[REDACTED]", "when": "2026-01-01 00:00:00"}
+    assert runs.safe("Bearer abc") == "Bearer [REDACTED]" and value["Authorization"] == ["z"]
 
 
 def test_heartbeat(spark, tmp_path):
