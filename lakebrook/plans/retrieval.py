@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text, times
-from ..operators import index
+from ..operators import captions, index
 from ..operators.containment import holding
 from .entities import Registry, chunks, evidence, questions, stored_index, table, with_
 
@@ -149,10 +149,8 @@ def interval_overlap(spark, d):
 
 @q("deoverlap")
 def deoverlap(spark, d):
-    """Turns of a conversation as rolling captions: an order-dependent fold, so rows only."""
-    ordered = F.sort_array(F.collect_list(F.struct("turn", "text")))
-    grouped = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(ordered, lambda t: t["text"]).alias("captions"))
-    return grouped.select("conv_id", text.deoverlap("captions").alias("text"))
+    """Turns of a conversation as rolling captions: an order-dependent fold, which has no SQL twin."""
+    return captions.prose(table(spark, d, "conversations"), "conv_id", ["turn"], "text")
 
 
 @q("quote_grounding", r"SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON trim(b.text) <> '' AND contains(lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\s+', ' ', 'g'))))")
