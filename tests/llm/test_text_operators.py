@@ -208,7 +208,7 @@ def test_the_program_needs_no_more_sequences_than_best_fit_decreasing(low, high,
     needed = placed_once(histogram)
     _, bound = packing.plan(histogram, 4096)
     assert bound <= needed <= best_fit_decreasing(histogram, 4096)
-    if low > 1300 and high > 2048:  # at most two pieces a sequence: volume says little
+    if low >= 2000:  # nearly all are longer than half a sequence: volume says little
         assert bound > -(-sum(k * v for k, v in histogram.items()) // 4096)
 
 
