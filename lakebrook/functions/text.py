@@ -129,19 +129,32 @@ def passage_context(text: Column, quote: Column, chars: int) -> Column:
     )
 
 
-def scope_violations(answer: Column) -> Column:
+def scope_violations(answer: Column, ascii_words: bool = False) -> Column:
     """Those of SCOPE_PATTERNS that stand somewhere without a negation in the 80 characters before. A mark is put before
-    each match, so that the pieces up to the n-th mark are what stands before the n-th match."""
+    each match, so that the pieces up to the n-th mark are what stands before the n-th match. ascii_words: words are of
+    ASCII letters, digits and _, as RE2 has them, and any other letter ends one; else of all letters, as Python has them."""
+    rule = _ascii_words if ascii_words else "(?iU){}".format
 
     def broken(pattern: str) -> Column:
-        pieces = F.split(F.regexp_replace(F.coalesce(answer, F.lit("")), f"(?iU)({pattern})", "\u0001$1"), "\u0001")
+        pieces = F.split(F.regexp_replace(F.coalesce(answer, F.lit("")), rule(f"({pattern})"), "\u0001$1"), "\u0001")
         before = lambda n: F.right(F.array_join(F.slice(pieces, F.lit(1), n), ""), F.lit(80))
         matches = F.slice(F.sequence(F.lit(0), F.size(pieces) - 1), F.lit(2), F.size(pieces))
-        return F.exists(matches, lambda n: ~before(n).rlike("(?iU)" + SCOPE_NEGATION))
+        return F.exists(matches, lambda n: ~before(n).rlike(rule(SCOPE_NEGATION)))
 
     return F.array_compact(F.array(*[F.when(broken(p), F.lit(p)) for p in SCOPE_PATTERNS]))
 
 
+def _ascii_words(pattern: str) -> str:
+    r"""The pattern with RE2's words and edges of words, without regard to case: there the letters that fold to s and k match
+    these and are in \w, but have no part in \b. Java's own \b goes by all letters. Each of the patterns begins with an edge
+    before a letter that nothing else folds to, so that this one looks back only."""
+    word, folded = "[0-9A-Za-z_]", "0-9A-Za-z_\u017f\u212a"
+    edge = f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
+    parts = {r"\w": f"[{folded}]", r"\W": f"[^{folded}]", "s": "[s\u017f]", "k": "[k\u212a]"}
+    first, rest = pattern.split(r"\b", 1)
+    return f"(?i){first}(?<!{word})" + re.sub(r"\\.|[sk]", lambda m: edge if m[0] == r"\b" else parts.get(m[0], m[0]), rest)
+
+
 def shared_end(before: str, caption: str) -> int:
     """How many first characters of caption the text before it ends with: the last value of the prefix function of both."""
     joined = f"{caption}\0{before[len(before) - min(len(before), len(caption)) :]}"
