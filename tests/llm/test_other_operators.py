@@ -72,6 +72,19 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, region, tile, local
     assert got == brute_classes(rows)
 
 
+def test_copies_in_many_tasks_make_no_candidates_of_their_own(spark):
+    """Each task sends its copies of a text; a region takes them as one, so that pairs don't grow with copies squared."""
+    words = [f"w{i}x" for i in range(400)]
+    texts = [" ".join(words[7 * i % 90 : 7 * i % 90 + 60]) + f" e{i % 40}" for i in range(80)]
+    levels = np.zeros(1 << jaccard_join.TABLE_BITS, np.uint8)
+    docs = lambda copies: spark.createDataFrame([(80 * c + i, t) for c in range(copies) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8, "doc_id")
+    once, often = (jaccard_join.regions(jaccard_join.windows(docs(c), levels)).where("not dense").distinct() for c in (1, 6))
+    once = {(r.a, r.b) for r in once.collect()}
+    assert once and {(r.a, r.b) for r in often.collect()} == once
+    one, six = ({r.doc_id: r.component_id for r in jaccard_join.jaccard_classes(docs(c)).collect()} for c in (1, 6))
+    assert all(six[d] == one[d % 80] for d in six) and len(six) == 480
+
+
 def test_jaccard_join_on_nothing_and_null_ids(spark):
     schema = "doc_id long, text string"
     assert jaccard_join.jaccard_classes(spark.createDataFrame([], schema)).count() == 0
