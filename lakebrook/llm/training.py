@@ -1,4 +1,4 @@
-"""Bounded samples of labelled rows, for the models that are fitted on them."""
+"""Features of labelled rows, for the models that are fitted on them: of all, or of a bounded sample."""
 
 from __future__ import annotations
 
@@ -18,18 +18,19 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0
 
 
-def labelled_features(documents: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and quality labels of at most `most` labelled rows that aren't held out, the first by a hash of their id.
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id, quality of the rows that aren't held out."""
+    return labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", "quality")
 
-    The sample's size is bounded by `most`, so that its ids are broadcast and its features collected; the texts are scored
-    where they lie. Rows without a 0/1 quality, an id or a text are left out; of rows that repeat an id, the one with the
-    least features counts, so that the bound holds.
-    """
-    sample = (
-        labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", "quality")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    )
-    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+
+def good_features(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, f (features) of every labelled row of quality 1 that isn't held out; of rows that repeat an id, the least."""
+    return _features(documents, labelled(labels).where("quality = 1").distinct()).select("doc_id", "f")
+
+
+def _features(documents: DataFrame, marked: DataFrame) -> DataFrame:
+    """doc_id, quality, f of the documents in marked (doc_id, quality), each id once."""
+    rows = documents.select("doc_id", "text").where("text is not null").join(marked, "doc_id")
 
     def measure(batches):
         for b in batches:
@@ -37,7 +38,18 @@ def labelled_features(documents: DataFrame, labels: DataFrame, most: int) -> tup
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("quality").cast(pa.int32()), pa.array(list(f), pa.list_(pa.float64()))], ["doc_id", "quality", "f"])
 
     measured = rows.select("doc_id", "quality", "text").mapInArrow(returning(measure), "doc_id long, quality int, f array<double>")
-    found = measured.groupBy("doc_id", "quality").agg(F.min("f").alias("f")).toPandas()
+    return measured.groupBy("doc_id", "quality").agg(F.min("f").alias("f"))
+
+
+def labelled_features(documents: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and quality labels of at most `most` labelled rows that aren't held out, the first by a hash of their id.
+
+    The sample's size is bounded by `most`, so that its ids are broadcast and its features collected; the texts are scored
+    where they lie. Rows without a 0/1 quality, an id or a text are left out; of rows that repeat an id, the one with the
+    least features counts, so that the bound holds.
+    """
+    sample = labelled(labels).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
+    found = _features(documents, F.broadcast(sample)).toPandas()
     if not len(found):
         return np.zeros((0, len(FEATURES))), np.zeros(0, np.int64)
     x, y = np.stack(found["f"].to_numpy()), found["quality"].to_numpy()

@@ -91,6 +91,20 @@ def test_fit_and_scores_equal_plain_sums_and_paths(spark):
             assert abs(score - 2.0 ** (-total / (len(forest.path) * forest.normal))) < 1e-9
 
 
+def test_thresholds_of_the_rules_come_from_every_labelled_row(spark, monkeypatch):
+    """All good rows but the trees' own are counted, however many there are, and the count equals a plain sort."""
+    monkeypatch.setattr(quality_rules, "TREES", 4)
+    monkeypatch.setattr(quality_rules, "SUBSAMPLE", 16)
+    texts = [f"the river of {i} and its {'TOWNS' if i % 7 == 0 else 'towns'} lie along a wide valley with {i * i} old farms and mills near {i} bridges and roads to the sea." for i in range(9000)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(9000)], "doc_id long, quality int, toxic int")
+    x, _ = labelled_features(docs, labels, 9000)
+    for forest in quality_rules.fitted(docs, labels):
+        assert np.allclose(forest.middle, x[:, forest.columns].mean(axis=0), atol=1e-8)
+        over = (forest.scores(x) > forest.threshold - quality_rules.MARGIN).sum()
+        assert over <= quality_rules.FALSE_REJECTS * len(x) + 1
+
+
 def test_models_without_labels_or_rows(spark):
     docs, none = documents(spark, ["a b c"]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.judge(docs, quality_rules.fitted(docs, none)).count() == 1
