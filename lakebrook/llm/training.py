@@ -24,21 +24,22 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def good_features(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, f (features) of every labelled row of quality 1 that isn't held out; of rows that repeat an id, the least."""
-    return _features(documents, labelled(labels).where("quality = 1").distinct()).select("doc_id", "f")
+    """doc_id, f (features) of every labelled row of quality 1 that isn't held out; of rows that repeat an id, the least.
+    Texts are measured where they lie: the features, a tenth of their size, go to the labels."""
+    good = labelled(labels).where("quality = 1").select("doc_id").distinct()
+    found = _measured(documents.where("doc_id is not null").where(~held_out()).withColumn("quality", F.lit(1)))
+    return found.join(good.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("f").alias("f"))
 
 
-def _features(documents: DataFrame, marked: DataFrame) -> DataFrame:
-    """doc_id, quality, f of the documents in marked (doc_id, quality), each id once."""
-    rows = documents.select("doc_id", "text").where("text is not null").join(marked, "doc_id")
+def _measured(rows: DataFrame) -> DataFrame:
+    """doc_id, quality, f of rows (doc_id, quality, text) that have a text."""
 
     def measure(batches):
         for b in batches:
             _, f = statistics(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("quality").cast(pa.int32()), pa.array(list(f), pa.list_(pa.float64()))], ["doc_id", "quality", "f"])
 
-    measured = rows.select("doc_id", "quality", "text").mapInArrow(returning(measure), "doc_id long, quality int, f array<double>")
-    return measured.groupBy("doc_id", "quality").agg(F.min("f").alias("f"))
+    return rows.where("text is not null").select("doc_id", "quality", "text").mapInArrow(returning(measure), "doc_id long, quality int, f array<double>")
 
 
 def labelled_features(documents: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +50,8 @@ def labelled_features(documents: DataFrame, labels: DataFrame, most: int) -> tup
     least features counts, so that the bound holds.
     """
     sample = labelled(labels).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    found = _features(documents, F.broadcast(sample)).toPandas()
+    measured = _measured(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    found = measured.groupBy("doc_id", "quality").agg(F.min("f").alias("f")).toPandas()
     if not len(found):
         return np.zeros((0, len(FEATURES))), np.zeros(0, np.int64)
     x, y = np.stack(found["f"].to_numpy()), found["quality"].to_numpy()
