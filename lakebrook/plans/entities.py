@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.index import chunks_by_line
+from ..operators.scan import Scan
 from ..operators.store import IndexStore
 from ..session import shared_folder
 
@@ -37,6 +38,12 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def scan(spark: SparkSession, d: str, analyzer: str = "plain") -> Scan:
+    """The questions against the documents as they are read, without an index."""
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("evidence_id"), "text")
+    return Scan(items, questions(spark, d), analyzer)
+
+
 def stored_index(spark: SparkSession, d: str) -> IndexStore:
     """The documents' index in the shared folder, built once for an application and path, deleted when it ends. Questions
     of the registered queries are answered from it; its words are kept as they stand, as SQL can check them, and as stems."""
