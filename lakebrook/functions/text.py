@@ -203,13 +203,20 @@ def _consonant(w: str, i: int) -> bool:
     return w[i] not in _VOWELS and (w[i] != "y" or i == 0 or not _consonant(w, i - 1))
 
 
+_KINDS = {i: "v" if chr(i) in _VOWELS else "c" for i in range(128)}
+
+
+def _kinds(w: str) -> str:
+    """v for each vowel, c for each consonant; only a y looks at what stands before it."""
+    return "".join("c" if _consonant(w, i) else "v" for i in range(len(w))) if "y" in w else w.translate(_KINDS)
+
+
 def _measure(w: str) -> int:
-    kinds = re.sub(r"(.)\1+", r"\1", "".join("c" if _consonant(w, i) else "v" for i in range(len(w))))
-    return kinds.count("vc")
+    return _kinds(w).count("vc")
 
 
 def _has_vowel(w: str) -> bool:
-    return any(not _consonant(w, i) for i in range(len(w)))
+    return "v" in _kinds(w)
 
 
 def _double(w: str) -> bool:
@@ -230,6 +237,8 @@ _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic"
 _STEP4 = (
     "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
 )
+#: Longest first; most words end in none of them, which one look tells.
+_ENDS2, _ENDS3, _ENDS4 = (tuple(sorted(ends, key=len, reverse=True)) for ends in (_STEP2, _STEP3, _STEP4))
 
 
 @functools.lru_cache(1 << 17)
@@ -255,11 +264,11 @@ def porter(word: str) -> str:
                 w = cut + "e" if _measure(cut) == 1 and _cvc(cut) else cut
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        end = next((e for e in sorted(table, key=len, reverse=True) if w.endswith(e)), None)
+    for table, ends in ((_STEP2, _ENDS2), (_STEP3, _ENDS3)):
+        end = next(e for e in ends if w.endswith(e)) if w.endswith(ends) else None
         if end and _measure(w[: -len(end)]) > 0:
             w = w[: -len(end)] + table[end]
-    end = next((e for e in sorted(_STEP4, key=len, reverse=True) if w.endswith(e)), None)
+    end = next(e for e in _ENDS4 if w.endswith(e)) if w.endswith(_ENDS4) else None
     if end:
         stem = w[: -len(end)]
         if _measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):

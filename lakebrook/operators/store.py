@@ -48,8 +48,11 @@ class NewerIndex(Exception):
     """The folder was written by a later version of this engine."""
 
 
+_PLAIN = str.maketrans(*ACCENTS)
+
+
 def _stem(word: str) -> str:
-    return porter(word.translate(str.maketrans(*ACCENTS)))
+    return porter(word if word.isascii() else word.translate(_PLAIN))
 
 
 #: How words become terms: as a column of questions' words, and of one word of a chunk.
